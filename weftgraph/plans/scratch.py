@@ -41,7 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         """Write ``df`` and return a DataFrame that reads the written table."""
@@ -49,18 +49,14 @@ class Scratch:
         path = f"{self.root}/t{self._n}"
         df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        # The entry is keyed by identity, so the frame must stay alive with it.
-        self.__dict__.setdefault("_alive", {})[id(out)] = out
+        self._paths.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = self._paths.pop(id(df), None)
-            self.__dict__.get("_alive", {}).pop(id(df), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+        for frame, path in [x for x in self._paths if any(x[0] is f for f in frames)]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            self._paths = [x for x in self._paths if x[0] is not frame]
