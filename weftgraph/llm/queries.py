@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, components, packing, splitting
+from weftgraph.llm import bpe, components, neardup, packing, splitting
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, members = neardup.near_pairs(table(spark, sf, "text_chunks"), "chunk_row", "content", threshold=0.5, size=3)
+    return neardup.record_pairs(pairs, members).toDF("chunk_row_a", "chunk_row_b").distinct()
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a record with its class of copies and that class's number of links, at five words and 0.8."""
+    pairs, members = neardup.near_pairs(table(spark, sf, "text_chunks"), "chunk_row", "content")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    out = members.join(links, "rep", "left")
+    return out.select(F.col("id").alias("chunk_row"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     pieces = splitting.split_long(table(spark, sf, "text_chunks"), with_text=False)
     return pieces.where("chunk_order_index = 1").select("chunk_row")  # a second piece: it was cut
@@ -42,7 +55,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TOKENS = r"""len(regexp_extract_all(content, '[\x{4E00}-\x{9FFF}]|[^\x{4E00}-\x{9FFF} \t\r\n]+'))"""
 
+
+def _shingle_sql(size: int) -> str:
+    joined = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return rf"""
+        w AS (SELECT chunk_row, regexp_extract_all(lower(content), '[\x{{4E00}}-\x{{9FFF}}]|[a-z0-9\x{{00C0}}-\x{{024F}}]+') AS w
+              FROM text_chunks WHERE content IS NOT NULL),
+        s AS (SELECT DISTINCT chunk_row, unnest(list_transform(range(1, len(w) - {size - 2}), lambda i: {joined})) AS g FROM w WHERE len(w) >= {size}),
+        n AS (SELECT chunk_row, count(*) AS n FROM s GROUP BY chunk_row),
+        c AS (SELECT x.chunk_row AS a, y.chunk_row AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.chunk_row < y.chunk_row GROUP BY ALL)"""
+
+
 _SQL = {
+    "p3_found": f"""WITH {_shingle_sql(3)}
+        SELECT c.a AS chunk_row_a, c.b AS chunk_row_b FROM c JOIN n na ON na.chunk_row = c.a JOIN n nb ON nb.chunk_row = c.b
+        WHERE 2 * c.k >= na.n + nb.n - c.k""",
     "p4_found": f"SELECT chunk_row FROM text_chunks WHERE {_TOKENS} > 600",
     "p5_found": """
         WITH RECURSIVE e AS (
