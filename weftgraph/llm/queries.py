@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, components, neardup, packing, splitting
+from weftgraph.llm import bpe, components, neardup, packing, splitting, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    best = vectors.similar_pairs(table(spark, sf, "vdb_entities"), "vec_id", "vector", threshold=0.85, k=10, recall=0.995)
+    return best.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p1_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 most similar rows of every row whose id is divisible by 100, with names."""
+    rows = table(spark, sf, "vdb_entities")
+    best = vectors.nearest(rows, "vec_id", "vector", F.col("id") % 100 == 0)
+    names = rows.select(F.col("vec_id").alias("other"), "entity_name")
+    return best.join(names, "other").select(F.col("id").alias("query_id"), F.col("other").alias("vec_id"), "entity_name", F.round("cos", 6).alias("cosine"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs, members = neardup.near_pairs(table(spark, sf, "text_chunks"), "chunk_row", "content", threshold=0.5, size=3)
     return neardup.record_pairs(pairs, members).toDF("chunk_row_a", "chunk_row_b").distinct()
@@ -67,6 +80,13 @@ def _shingle_sql(size: int) -> str:
 
 
 _SQL = {
+    "p1_found": """WITH u AS (SELECT vec_id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM vdb_entities
+          WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x) OR isinf(x)))),
+        w AS (SELECT vec_id, v FROM u WHERE list_dot_product(v, v) > 0),
+        p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS c FROM w x JOIN w y ON x.vec_id < y.vec_id),
+        l AS (SELECT a, b, c FROM p WHERE c >= 0.85 UNION ALL SELECT b, a, c FROM p WHERE c >= 0.85),
+        r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM l)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 10""",
     "p3_found": f"""WITH {_shingle_sql(3)}
         SELECT c.a AS chunk_row_a, c.b AS chunk_row_b FROM c JOIN n na ON na.chunk_row = c.a JOIN n nb ON nb.chunk_row = c.b
         WHERE 2 * c.k >= na.n + nb.n - c.k""",
