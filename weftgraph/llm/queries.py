@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, components, neardup, packing, splitting, vectors
+from weftgraph.llm import bpe, components, names, neardup, packing, splitting, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def p1_top10(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(names, "other").select(F.col("id").alias("query_id"), F.col("other").alias("vec_id"), "entity_name", F.round("cos", 6).alias("cosine"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    members, _ = names.same_entities(table(spark, sf, "vdb_entities"), table(spark, sf, "name_aliases"))
+    return names.found_pairs(members).toDF("vec_id_a", "vec_id_b")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs, members = neardup.near_pairs(table(spark, sf, "text_chunks"), "chunk_row", "content", threshold=0.5, size=3)
     return neardup.record_pairs(pairs, members).toDF("chunk_row_a", "chunk_row_b").distinct()
