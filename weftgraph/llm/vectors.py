@@ -40,12 +40,36 @@ _STEP = 1 << 21
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
-    """``id, v array<float>`` of the usable rows, scaled to length one."""
-    v = F.col(vector)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = df.where(v.isNotNull() & (F.size(v) == dim)).select(F.col(key).cast("bigint").alias("id"), v.alias("raw"), norm.alias("norm"))
-    fine = rows.where(F.col("id").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf")))
-    return fine.select("id", F.transform("raw", lambda x: (x.cast("double") / F.col("norm")).cast("float")).alias("v"))
+    """``id, cls, v array<float>`` of the usable rows, scaled to length one; ``cls`` names the direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+        import xxhash
+
+        for batch in batches:
+            right = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False)
+            rows = batch.filter(pc.and_(right, pc.is_valid(batch.column(0))))
+            if not rows.num_rows:
+                continue
+            x = matrix(rows.column(1), rows.num_rows).astype(np.float64)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(axis=1))
+                fine = np.isfinite(norm) & (norm > 0)
+                x = x[fine] / norm[fine, None]
+            near = np.round(x * 100_000).astype(np.int32)
+            cls = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in near]
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(fine)), pa.array(cls, pa.int64()), _lists(x)], names=["id", "cls", "v"])
+
+    kinds = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    return kinds.mapInArrow(run, "id bigint, cls bigint, v array<float>")
+
+
+def _lists(x):
+    import numpy as np
+
+    flat = pa.array(np.ascontiguousarray(x, dtype=np.float32).reshape(-1))
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), flat)
 
 
 def learn_rotations(sample, bits: int, seed: int = 20):
@@ -56,15 +80,15 @@ def learn_rotations(sample, bits: int, seed: int = 20):
     dim = sample.shape[1]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     x = (sample - mean).astype(np.float64)
-    _, _, axes = np.linalg.svd(x, full_matrices=True) if len(x) else (0, 0, np.eye(dim))
-    y = x @ axes.T
+    _, axes = np.linalg.eigh(x.T @ x)  # principal axes
+    y = x @ axes
     blocks = []
     for _ in range(-(-bits // dim)):
         r, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
         for _ in range(FIT_ROUNDS if len(x) >= dim else 0):
             u, _, w = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
             r = (u @ w).T
-        blocks.append(axes.T @ r)
+        blocks.append(axes @ r)
     return mean.astype(np.float32), np.concatenate(blocks, axis=1)[:, :bits].astype(np.float32)
 
 
@@ -246,7 +270,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, k: int
     rows = scratch.save(usable(df, key, vector, dim), "lz4")
     n = rows.count()
     # Equal directions are one class; the k + 1 smallest ids of it are all that can be neighbours.
-    byv = rows.select("id", F.xxhash64(F.transform("v", lambda x: F.round(x * 100_000).cast("int"))).alias("cls"))
+    byv = rows.select("id", "cls")
     heads = byv.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copied = scratch.save(heads.where("copies > 1"))
     many = scratch.save(lookup(byv, copied, "cls", n))
@@ -257,10 +281,11 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, k: int
     width, m = index_shape(n, threshold, recall)
     shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(reps, dim), width * m))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = reps.mapInArrow(_codes(shared, m, partition_keys(spark, tasks)), "p int, j int, id bigint, code binary")
+    coded = reps.select("id", "v").mapInArrow(_codes(shared, m, partition_keys(spark, tasks)), "p int, j int, id bigint, code binary")
     radius = full_radius(width * m, threshold)
     found = scratch.save(coded.repartition(tasks, "p").mapInArrow(_retrieve(width, m, radius), "a bigint, b bigint"))
-    both = found.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
+    floats = rows.select("id", "v")
+    both = found.join(floats.toDF("a", "va"), "a").join(floats.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
     close = scratch.save(both.mapInArrow(_cosines(threshold), "a bigint, b bigint, cos double"))
     one_way = close.select(F.col("a").alias("id"), F.col("b").alias("other"), "cos").union(close.select("b", "a", "cos"))
     # A class stands for its copies: give each copy its representative's neighbours, and each neighbour's copies.
@@ -318,7 +343,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query, k: int = 10, dim: in
     substrings are short (8 bits) and probed within 2 bits to keep the recall.
     """
     spark = df.sparkSession
-    rows = Scratch(spark, "search").save(usable(df, key, vector, dim), "lz4")
+    rows = Scratch(spark, "search").save(usable(df, key, vector, dim).select("id", "v"), "lz4")
     shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(rows, dim), SEARCH_WIDTH * SEARCH_PARTS))
     asked = rows.where(is_query)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
