@@ -132,17 +132,25 @@ def _codes(shared, m: int, keys):
 
         mean, axes = shared.value
         part = np.asarray(keys, dtype=np.int32)
+        known: set[int] = set()
         for batch in batches:
+            first = []  # of its direction in this task
+            for i, c in enumerate(batch.column(1).to_pylist()):
+                if c not in known:
+                    known.add(c)
+                    first.append(i)
+            batch = batch.take(pa.array(first, pa.int64()))
             n = batch.num_rows
             if not n:
                 continue
-            words = packed((matrix(batch.column(1), n) - mean) @ axes >= 0)
+            words = packed((matrix(batch.column(2), n) - mean) @ axes >= 0)
             size = words.shape[1] * 8
             raw = np.ascontiguousarray(np.repeat(words, m, axis=0))
             ends = (np.arange(n * m + 1) * size).astype(np.int32)
             code = pa.BinaryArray.from_buffers(pa.binary(), n * m, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
             j = np.tile(np.arange(m, dtype=np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array(part[j % len(part)]), pa.array(j), batch.column(0).take(pa.array(np.repeat(np.arange(n), m))), code], names=["p", "j", "id", "code"])
+            row = pa.array(np.repeat(np.arange(n), m))
+            yield pa.RecordBatch.from_arrays([pa.array(part[j % len(part)]), pa.array(j), batch.column(0).take(row), batch.column(1).take(row), code], names=["p", "j", "id", "cls", "code"])
 
     return run
 
@@ -218,6 +226,11 @@ def _retrieve(width: int, m: int, radius: int):
         js = whole.column("j").to_numpy()
         for j in np.unique(js).tolist():
             mine = whole.filter(pa.array(js == j))
+            # One row a direction: the smallest id that came.
+            ids, cls = mine.column("id").to_numpy(), mine.column("cls").to_numpy()
+            order = np.lexsort((ids, cls))
+            lead = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
+            mine = mine.take(pa.array(np.sort(order[lead])))
             ids = mine.column("id").to_numpy()
             words = np.frombuffer(b"".join(mine.column("code").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
             subs = substrings(words, width, m)
@@ -255,11 +268,14 @@ def full_radius(bits: int, threshold: float) -> int:
     return math.ceil(bits * p + 4.3 * math.sqrt(bits * p * (1 - p)))
 
 
-def fit_sample(rows: DataFrame, dim: int = DIM):
-    """At most ``FIT_ROWS`` vectors, those of the smallest id hashes, for the rotation."""
+def fit_sample(rows: DataFrame, n: int, dim: int = DIM):
+    """At most ``FIT_ROWS`` of the ``n`` vectors, those of the smallest id hashes, for the rotation."""
     import numpy as np
 
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
+    # A share that holds about twice the rows wanted, of which the first are taken.
+    share = min(1.0, 2 * FIT_ROWS / max(1, n))
+    h = F.xxhash64("id") / F.lit(2.0**63)
+    sample = rows.where(h <= -1 + 2 * share).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
     return np.stack(sample["v"].to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, dim), np.float32)
 
 
@@ -277,16 +293,17 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, k: int
     # The rank limit is applied by the map tasks already, so a class never meets whole in one task.
     small = many.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     near = small.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("near"))
-    reps = rows.join(many.where("id <> rep").select("id"), "id", "left_anti")
     width, m = index_shape(n, threshold, recall)
-    shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(reps, dim), width * m))
+    shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(rows, n, dim), width * m))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = reps.select("id", "v").mapInArrow(_codes(shared, m, partition_keys(spark, tasks)), "p int, j int, id bigint, code binary")
+    coded = rows.mapInArrow(_codes(shared, m, partition_keys(spark, tasks)), "p int, j int, id bigint, cls bigint, code binary")
     radius = full_radius(width * m, threshold)
     found = scratch.save(coded.repartition(tasks, "p").mapInArrow(_retrieve(width, m, radius), "a bigint, b bigint"))
     floats = rows.select("id", "v")
     both = found.join(floats.toDF("a", "va"), "a").join(floats.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
     close = scratch.save(both.mapInArrow(_cosines(threshold), "a bigint, b bigint, cos double"))
+    rep_of = many.select("id", "rep")
+    close = close.join(rep_of.toDF("a", "ra"), "a", "left").join(rep_of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "cos")
     one_way = close.select(F.col("a").alias("id"), F.col("b").alias("other"), "cos").union(close.select("b", "a", "cos"))
     # A class stands for its copies: give each copy its representative's neighbours, and each neighbour's copies.
     copies = many.select("id", "rep")
@@ -344,7 +361,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query, k: int = 10, dim: in
     """
     spark = df.sparkSession
     rows = Scratch(spark, "search").save(usable(df, key, vector, dim).select("id", "v"), "lz4")
-    shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(rows, dim), SEARCH_WIDTH * SEARCH_PARTS))
+    shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(rows, rows.count(), dim), SEARCH_WIDTH * SEARCH_PARTS))
     asked = rows.where(is_query)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
