@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, components, names, neardup, packing, splitting, vectors
+from weftgraph.llm import abuse, bpe, components, names, neardup, packing, splitting, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,6 +67,16 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(table(spark, sf, "documents"))).withColumnRenamed("size", "n_tokens")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    scores = abuse.score(table(spark, sf, "documents"), table(spark, sf, "abuse_examples"))
+    return scores.where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return abuse.rates(docs, abuse.score(docs, table(spark, sf, "abuse_examples")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
