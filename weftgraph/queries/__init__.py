@@ -1,5 +1,10 @@
 """Registered queries of the core operators and their SQL."""
 
+from types import SimpleNamespace
+
 
 def modules() -> list:
-    return []
+    from weftgraph.queries import ingest, stores
+
+    found = [stores, ingest]
+    return [SimpleNamespace(queries=lambda q=m.q: dict(q.fns), oracle_sql=lambda q=m.q: dict(q.sql)) for m in found]
