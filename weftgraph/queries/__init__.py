@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 
 def modules() -> list:
-    from weftgraph.queries import ingest, stores
+    from weftgraph.queries import graph, ingest, stores
 
-    found = [stores, ingest]
+    found = [stores, ingest, graph]
     return [SimpleNamespace(queries=lambda q=m.q: dict(q.fns), oracle_sql=lambda q=m.q: dict(q.sql)) for m in found]
