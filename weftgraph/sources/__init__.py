@@ -1,0 +1 @@
+"""Sources and sinks: text folders, custom graphs, stores and exports."""
