@@ -1,0 +1,5 @@
+"""Incremental ingest as a stream."""
+
+from weftgraph.streaming.ingest import stream_folder
+
+__all__ = ["stream_folder"]
