@@ -594,7 +594,9 @@ def same_entities(df: DataFrame, aliases: DataFrame, key: str = "vec_id", name:
     scratch = Scratch(df.sparkSession, "names")
     rows = df.select(F.col(key).cast("bigint").alias("row"), F.col(name).cast("string").alias("name"), F.lower(F.trim(F.col(kind))).alias("typed")).where("row IS NOT NULL AND name IS NOT NULL")
     known = F.when(~F.col("typed").isin("unknown", ""), F.col("typed"))
-    names = scratch.save(rows.groupBy("name").agg(F.min("row").alias("id"), F.min(known).alias("typed")).select("id", "name", "typed"))
+    # A name that any of its rows calls a person or an organisation is read as one.
+    counted = F.when(F.col("typed").isin("person", "organization"), F.col("typed"))
+    names = scratch.save(rows.groupBy("name").agg(F.min("row").alias("id"), F.coalesce(F.min(counted), F.min(known)).alias("typed")).select("id", "name", "typed"))
     links = scratch.save(link_names(names, aliases, scratch))
     groups = components.groups(links).select("id", F.col("group_id").alias("grp"))
     grouped = names.select("id", "name").join(groups, "id")
