@@ -29,8 +29,11 @@ def fixed_windows(df: DataFrame, key: str, text: str, most: int = WINDOW, overla
     """``key, chunk_order_index, tokens, content``: overlapping windows of default tokens."""
     if not 0 <= overlap < most:
         raise ValueError("overlap must be at least 0 and below the window")
-    cut = df.select(F.col(key), windows(X.words(F.col(text)), most, overlap).alias("w"))
-    return cut.select(key, F.posexplode("w").alias("chunk_order_index", "c")).select(key, "chunk_order_index", "c.tokens", "c.content")
+    # Tokens are computed once a text and sliced after the windows are exploded.
+    t = df.select(F.col(key), X.words(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+    s = t.select(key, "_t", F.posexplode(F.sequence(F.lit(0), F.size("_t") - 1, F.lit(most - overlap))).alias("chunk_order_index", "_s"))
+    content = F.array_join(F.slice("_t", F.col("_s") + 1, F.lit(most)), " ")
+    return s.select(key, "chunk_order_index", F.least(F.lit(most), F.size("_t") - F.col("_s")).alias("tokens"), content.alias("content"))
 
 
 def by_character(df: DataFrame, key: str, text: str, mark: str, most: int = WINDOW, overlap: int = OVERLAP, only: bool = False) -> DataFrame:

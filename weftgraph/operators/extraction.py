@@ -21,12 +21,12 @@ def records(df: DataFrame, text: str = "content") -> DataFrame:
     r = F.regexp_replace(F.regexp_replace(X.strip(F.col("_r")), "^[(（]", ""), "[)）]$", "")
     r = F.regexp_replace(X.strip(r), r"^(entity|relationship)<\|(?!>)", "$1<|>")
     for wrong in ("<||>", "< | >", "<<|>>", "<|>>", "<<|>"):
-        r = F.regexp_replace(r, "\\Q" + wrong + "\\E", "<|>")
+        r = F.replace(r, F.lit(wrong), F.lit("<|>"))
     return each.withColumn("fields", X.split_markers(r, [FIELD])).drop("_r")
 
 
 def _field(i: int):
-    return F.element_at("fields", i)
+    return F.try_element_at(F.col("fields"), F.lit(i))
 
 
 def entity_records(recs: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def relations(recs: DataFrame, label: str | None = None) -> DataFrame:
     ok = recs.where((F.size("fields") >= 5) & _field(1).contains("relationship") & ~entity)
     out = ok.withColumn("src_id", X.clean(_field(2), True)).withColumn("tgt_id", X.clean(_field(3), True))
     out = out.where((F.length("src_id") > 0) & (F.length("tgt_id") > 0) & (F.col("src_id") != F.col("tgt_id")))
-    last = F.regexp_replace(F.regexp_replace(F.element_at("fields", -1), '^"+|"+$', ""), "^'+|'+$", "")
+    last = F.regexp_replace(F.regexp_replace(_field(-1), '^"+|"+$', ""), "^'+|'+$", "")
     out = out.withColumn("keywords", F.regexp_replace(X.clean(_field(4), True), "，", ",")).withColumn("_d", X.clean(_field(5)))
     description = F.col("_d") if label is None else X.with_time(F.col("_d"), F.col(label))
     weight = F.when(X.is_float(last), F.expr("try_cast(_w AS double)")).otherwise(F.lit(1.0))
