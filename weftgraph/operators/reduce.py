@@ -24,7 +24,7 @@ def merge_nodes(mentions: DataFrame, order: str = "ord") -> DataFrame:
     """
     key = ["entity_name"]
     types = mentions.groupBy("entity_name", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
-    kind = types.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("o"))).alias("entity_type"))
+    kind = types.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("o"), F.col("entity_type"))).alias("entity_type"))
     text = _in_order(mentions, key, "description", order, "d").select("entity_name", F.array_join("d", X.SEP).alias("description"))
     paths = _in_order(mentions, key, "file_path", order, "p").select("entity_name", X.joined_paths(F.array().cast("array<string>"), F.col("p")).alias("file_path"))
     sources = mentions.groupBy("entity_name").agg(F.array_join(F.array_sort(F.collect_set("source_id")), X.SEP).alias("source_id"), F.count(F.lit(1)).alias("mentions"))

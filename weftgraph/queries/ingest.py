@@ -162,12 +162,12 @@ def line_mentions(spark, sf):
 
 
 LINES = """m AS (SELECT 'S' || l_suppkey AS src_id, 'P' || l_partkey AS tgt_id, l_returnflag AS f, l_linestatus AS s, 'qty ' || l_quantity::INT AS d, 'O' || l_orderkey AS o, [l_orderkey, l_linenumber, l_partkey, l_suppkey] AS ord FROM lineitem)"""
-NODES = f"""{LINES}, ty AS (SELECT tgt_id, f, count(*) AS n, min(ord) AS mo FROM m GROUP BY ALL), kind AS (SELECT tgt_id, f FROM (SELECT *, row_number() OVER (PARTITION BY tgt_id ORDER BY n DESC, mo) AS rn FROM ty) WHERE rn = 1),
-   de AS (SELECT tgt_id, d, min(ord) AS mo FROM m GROUP BY ALL), des AS (SELECT tgt_id, string_agg(d, '<SEP>' ORDER BY mo) AS description FROM de GROUP BY tgt_id),
-   pa AS (SELECT tgt_id, s, min(ord) AS mo FROM m GROUP BY ALL), pas AS (SELECT tgt_id, string_agg(s, '<SEP>' ORDER BY mo) AS file_path FROM pa GROUP BY tgt_id),
+NODES = f"""{LINES}, ty AS (SELECT tgt_id, f, count(*) AS n, min(ord) AS mo FROM m GROUP BY ALL), kind AS (SELECT tgt_id, f FROM (SELECT *, row_number() OVER (PARTITION BY tgt_id ORDER BY n DESC, mo, f) AS rn FROM ty) WHERE rn = 1),
+   de AS (SELECT tgt_id, d, min(ord) AS mo FROM m GROUP BY ALL), des AS (SELECT tgt_id, string_agg(d, '<SEP>' ORDER BY mo, d) AS description FROM de GROUP BY tgt_id),
+   pa AS (SELECT tgt_id, s, min(ord) AS mo FROM m GROUP BY ALL), pas AS (SELECT tgt_id, string_agg(s, '<SEP>' ORDER BY mo, s) AS file_path FROM pa GROUP BY tgt_id),
    so AS (SELECT tgt_id, array_to_string(list_sort(list_distinct(list(o))), '<SEP>') AS source_id, count(*) AS mentions FROM m GROUP BY tgt_id),
    nodes AS (SELECT kind.tgt_id AS entity_name, kind.f AS entity_type, source_id, mentions, description, file_path FROM kind JOIN so USING (tgt_id) JOIN des USING (tgt_id) JOIN pas USING (tgt_id))"""
-EDGES = f"""{LINES}, ed AS (SELECT least(src_id, tgt_id) AS src, greatest(src_id, tgt_id) AS tgt, * FROM m), dd AS (SELECT src, tgt, d, min(ord) AS mo FROM ed GROUP BY ALL), ds AS (SELECT src, tgt, string_agg(d, '<SEP>' ORDER BY mo) AS description FROM dd GROUP BY ALL),
+EDGES = f"""{LINES}, ed AS (SELECT least(src_id, tgt_id) AS src, greatest(src_id, tgt_id) AS tgt, * FROM m), dd AS (SELECT src, tgt, d, min(ord) AS mo FROM ed GROUP BY ALL), ds AS (SELECT src, tgt, string_agg(d, '<SEP>' ORDER BY mo, d) AS description FROM dd GROUP BY ALL),
    kw AS (SELECT src, tgt, array_to_string(list_sort(list_distinct(list(f) || list(s))), ',') AS keywords, sum(1.0)::DOUBLE AS weight, array_to_string(list_sort(list_distinct(list(o))), '<SEP>') AS source_id, count(*) AS mentions FROM ed GROUP BY src, tgt),
    edges AS (SELECT src, tgt, weight, source_id, mentions, keywords, description FROM kw JOIN ds USING (src, tgt))"""
 

@@ -136,7 +136,7 @@ def urgent(spark, sf):
 
 
 @q("mu10_rebuild_nodes", f"""WITH {LINES}, {GONE}, af AS (SELECT DISTINCT tgt_id FROM m WHERE o IN (SELECT id FROM gone)), r AS (SELECT * FROM m WHERE o NOT IN (SELECT id FROM gone) AND tgt_id IN (SELECT tgt_id FROM af)), ty AS (SELECT tgt_id, f, count(*) AS n, min(ord) AS mo FROM r GROUP BY ALL)
-   SELECT tgt_id AS entity_name, entity_type, mentions FROM (SELECT tgt_id, f AS entity_type, sum(n) OVER (PARTITION BY tgt_id)::BIGINT AS mentions, row_number() OVER (PARTITION BY tgt_id ORDER BY n DESC, mo) AS rn FROM ty) WHERE rn = 1""")
+   SELECT tgt_id AS entity_name, entity_type, mentions FROM (SELECT tgt_id, f AS entity_type, sum(n) OVER (PARTITION BY tgt_id)::BIGINT AS mentions, row_number() OVER (PARTITION BY tgt_id ORDER BY n DESC, mo, f) AS rn FROM ty) WHERE rn = 1""")
 def mu10(spark, sf):
     return M.rebuild_nodes(line_mentions(spark, sf), urgent(spark, sf)).select("entity_name", "entity_type", "mentions")
 
