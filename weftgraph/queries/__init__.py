@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 
 def modules() -> list:
-    from weftgraph.queries import graph, ingest, maintain, retrieve, stores
+    from weftgraph.queries import discover, graph, ingest, maintain, retrieve, stores
 
-    found = [stores, ingest, graph, retrieve, maintain]
+    found = [stores, ingest, graph, retrieve, maintain, discover]
     return [SimpleNamespace(queries=lambda q=m.q: dict(q.fns), oracle_sql=lambda q=m.q: dict(q.sql)) for m in found]
