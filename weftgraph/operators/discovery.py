@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import text as X
 from weftgraph.operators import extraction as E
 from weftgraph.operators import reduce as R
+from weftgraph.plans.scratch import Scratch
 
 Model = Callable[[list[str]], list[str]]
 
@@ -47,22 +49,32 @@ def discover_types(chunks: DataFrame, model: Model, text: str = "content", least
     return names.groupBy("entity_type").agg(F.count(F.lit(1)).alias("chunks")).where(F.col("chunks") >= least)
 
 
-def summarize(fragments: DataFrame, key: str, order: str, text: str, model: Model, most: int = 1200, joiner: str = "\n\n") -> DataFrame:
+def summarize(fragments: DataFrame, key: str, order: str, text: str, model: Model, joiner: str = "\n\n", most: int = R.CONTEXT_TOKENS) -> DataFrame:
     """``key, summary``: single and small lists are joined, others go to the model group by group.
 
-    Groups hold at most the context; the second pass joins their summaries, cut
-    to ``most`` tokens.
+    Summaries of groups are fragments again, until a list is joined or told at
+    once.  A group of one stays as it is.  Groups hold at most ``most`` tokens,
+    or two fragments; what the model reads is cut to ``most``.
     """
-    decided = R.summary_decision(fragments, key, text)
-    rows = fragments.join(decided.select(key, "decision"), key)
+    scratch = Scratch(fragments.sparkSession, "summaries")
     in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), joiner)
-    plain = rows.where("decision IN ('single', 'join')").groupBy(key).agg(in_order(text).alias("summary"))
-    groups = R.pack_fragments(rows.where("decision NOT IN ('single', 'join')").select(key, order, text), key, order, text)
-    parts = rows.join(groups, [key, order]).groupBy(key, "grp").agg(in_order(text).alias("part"))
-    told = E.ask(parts, model, "part", "told").withColumnRenamed("grp", order)
-    long = told.groupBy(key).agg(in_order("told").alias("summary"))
-    cut = F.when(X.n_words(F.col("summary")) > most, F.array_join(F.slice(X.words(F.col("summary")), 1, most), " ")).otherwise(F.col("summary"))
-    return plain.unionByName(long.select(key, cut.alias("summary")))
+    read = F.when(X.n_words(F.col("part")) > most, F.array_join(F.slice(X.words(F.col("part")), 1, most), " ")).otherwise(F.col("part"))
+    told = lambda parts: E.ask(parts.withColumn("part", read), model, "part", "told")
+    done, left = [], fragments.select(key, order, text)
+    while True:
+        decided = R.summary_decision(left, key, text, most)
+        rows = scratch.save(left.join(decided.select(key, "decision"), key))
+        done.append(rows.where("decision IN ('single', 'join')").groupBy(key).agg(in_order(text).alias("summary")))
+        whole = rows.where("decision = 'summarize'").groupBy(key).agg(in_order(text).alias("part"))
+        done.append(told(whole).select(key, F.col("told").alias("summary")))
+        split = rows.where("decision = 'split'").select(key, order, text)
+        if split.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, done)
+        groups = R.pack_fragments(split, key, order, text, most)
+        parts = scratch.save(split.join(groups, [key, order]).groupBy(key, "grp").agg(in_order(text).alias("part"), F.count(F.lit(1)).alias("n")))
+        alone = parts.where("n = 1").select(key, F.col("grp").alias(order), F.col("part").alias(text))
+        many = told(parts.where("n > 1").select(key, "grp", "part")).select(key, F.col("grp").alias(order), F.col("told").alias(text))
+        left = scratch.save(alone.union(many))  # the model is asked once
 
 
 def chunk_with(docs: DataFrame, chunker: Callable[[str], list[str]], key: str, text: str) -> DataFrame:

@@ -65,11 +65,11 @@ def doc_relations(mentions: DataFrame, doc: str) -> DataFrame:
 CONTEXT_TOKENS, SUMMARY_TOKENS, FORCE_FRAGMENTS = 12_000, 1200, 8
 
 
-def summary_decision(fragments: DataFrame, key: str, text: str) -> DataFrame:
+def summary_decision(fragments: DataFrame, key: str, text: str, most: int = CONTEXT_TOKENS) -> DataFrame:
     """What becomes of a name's descriptions: none, single, join, summarize or split."""
     by = fragments.groupBy(key).agg(F.count(F.lit(1)).alias("fragments"), F.sum(X.n_words(F.col(text)).cast("bigint")).alias("tokens"))
     n, t = F.col("fragments"), F.col("tokens")
-    fits = (t <= CONTEXT_TOKENS) | (n <= 2)
+    fits = (t <= most) | (n <= 2)
     small = (n < FORCE_FRAGMENTS) & (t < SUMMARY_TOKENS)
     return by.withColumn("decision", F.when(n == 1, "single").when(fits & small, "join").when(fits, "summarize").otherwise("split"))
 
