@@ -56,6 +56,17 @@ def test_large_class_of_copies_is_a_star(spark):
     assert got == {(0, i) for i in range(1, 100)} | {(0, 200)}
 
 
+def test_large_class_gives_every_pair(spark, tmp_path):
+    from weftgraph.llm import queries
+
+    text = "alpha beta gamma delta epsilon zeta"
+    forms = [text, text.upper(), text.replace(" ", ", "), text + ".", text + " " + text.replace("alpha", "Alpha")]
+    rows = [(i, forms[i % 4]) for i in range(150)] + [(200 + i, text + " eta" + "." * (i % 3)) for i in range(70)] + [(300, text + " theta"), (301, forms[4]), (302, "one two three four"), (303, "one two three four")]
+    spark.createDataFrame(rows, "chunk_row bigint, content string").write.parquet(str(tmp_path / "text_chunks.parquet"))
+    got = [tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.5, 3)
+
+
 def test_traversal_loses_no_pair():
     rng = np.random.default_rng(1)
     n = 400

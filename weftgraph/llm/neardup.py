@@ -49,9 +49,11 @@ FANOUT = 8
 BLOCK_ROWS = 50_000
 #: Bits of the filter that keeps unmatched texts from being read again.
 FILTER_BITS = 25
-#: Up to this many pairs, two classes of copies are paired row by row; beyond
-#: it each copy is paired with the other class's representative.
+#: Short form: up to this many pairs, two classes of copies are paired row by row;
+#: beyond it each copy is paired with the other class's representative.
 EXPAND_PAIRS = 4096
+#: Rows of a class in a block, about: two blocks are paired row by row at once.
+BLOCK_COPIES = 64
 _STEP = 1 << 21  # pairs handled at once in a traversal
 
 
@@ -588,12 +590,33 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, size:
     return pairs, members
 
 
+def all_record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b`` of records, a < b: every pair within and between classes, whatever their size.
+
+    Classes are cut in blocks of about ``BLOCK_COPIES`` rows; a job joins two
+    blocks, so that a large class spreads over all tasks.
+    """
+    of = members.where("copies > 1").withColumn("blocks", F.ceil(F.col("copies") / BLOCK_COPIES).cast("int"))
+    blocks = of.where("id = rep").select("rep", "blocks")
+    listed = of.groupBy("rep", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")).agg(F.collect_list("id").alias("ids"))
+    within = blocks.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    jobs = pairs.select("a", "b").union(within).join(blocks.toDF("a", "na"), "a", "left").join(blocks.toDF("b", "nb"), "b", "left")
+    upto = lambda c: F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)
+    jobs = jobs.select("a", "b", "na", "nb", F.explode(upto(F.col("na"))).alias("i")).repartition("a", "b", "i")
+    jobs = jobs.select("a", "b", "na", "nb", "i", F.explode(upto(F.col("nb"))).alias("j")).where("a <> b OR i <= j").repartition("a", "b", "i", "j")
+    sides = jobs.join(listed.toDF("a", "i", "la"), ["a", "i"], "left").join(listed.toDF("b", "j", "lb"), ["b", "j"], "left")
+    once = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+    # A class without copies has no block; a block of a class may be empty.
+    rows = lambda n, c, k: F.when(F.col(n).isNull(), F.array(k)).otherwise(F.col(c))
+    out = sides.select(once.alias("once"), F.explode(rows("na", "la", "a")).alias("x"), rows("nb", "lb", "b").alias("lb")).select("once", "x", F.explode("lb").alias("y"))
+    return out.where("NOT once OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``a, b`` of records: every pair, with large classes of copies as stars.
+    """``a, b`` of records in short form: classes of more than sqrt(``EXPAND_PAIRS``) rows as stars.
 
-    Where two classes, or one with itself, would give more than ``EXPAND_PAIRS``
-    rows, each copy is paired with the representative instead; copies being
-    equal, this names the same links.
+    Each row of such a class is paired with the representative only, and other
+    classes with the representative: the same groups, not the same pairs.
     """
     of = members.select("rep", "id", "copies")
     many = F.col("copies") > int(EXPAND_PAIRS**0.5)

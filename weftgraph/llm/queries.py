@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs, members = neardup.near_pairs(table(spark, sf, "text_chunks"), "chunk_row", "content", threshold=0.5, size=3)
-    return neardup.record_pairs(pairs, members).toDF("chunk_row_a", "chunk_row_b").distinct()
+    return neardup.all_record_pairs(pairs, members).toDF("chunk_row_a", "chunk_row_b")
 
 
 def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
