@@ -69,6 +69,19 @@ def test_empty_table(spark):
     assert N.found_pairs(members).collect() == []
 
 
+def test_nearer_spellings_take_no_link_away(spark):
+    cores = ["Karstenlormat", "Karstenlormta", "Karstanlorzat", "Karstanlorzut", "Belsomt", "Belsuzt"]  # X and its typo, Y two edits from X and its typo; short ones
+    aliases = spark.createDataFrame(ALIASES, "alias_id bigint, full_form string, short_form string, kind string")
+
+    def found(use):
+        rows = [(i, f"William {cores[i]}", "person") for i in use] + [(1000 + i, x, "organization") for i, x in enumerate(fillers())]
+        members, _ = N.same_entities(spark.createDataFrame(rows, "vec_id bigint, entity_name string, entity_type string"), aliases)
+        return {tuple(r) for r in N.found_pairs(members).collect()}
+
+    assert found([0, 2, 4, 5]) == {(0, 2)}
+    assert found(range(6)) == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -34,6 +34,7 @@ from weftgraph.llm import components
 from weftgraph.plans import Scratch
 
 K = 2  # edits
+LONG_CORE = 8  # letters from which two edits link
 #: A word, phrase or nickname is common when at least this share of the names has it.
 COMMON_SHARE = 1 / 4000
 COMMON_LEAST = 3
@@ -558,12 +559,10 @@ def link_names(names: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFr
     own = read.join(unit.select("kind", "core", "u"), ["kind", "core"]).select(F.col("u").alias("a"), F.col("id").alias("b")).where("a <> b")
     strong = unit.where("NOT weak")
     pairs = scratch.save(segment_join(strong.select("u", F.col("kind").alias("scope"), "core")))
-    # One edit links; two edits link a spelling that has no nearer relative, in a long core.
+    # One edit links; two edits link long cores.  Only the pair decides, so that no added row takes a link away.
     size = strong.select("u", F.length("core").alias("l"))
     close = pairs.where("d <= 1").select("a", "b")
-    settled = close.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    two = pairs.where("d = 2").join(size.toDF("a", "la"), "a").join(size.toDF("b", "lb"), "b").where("least(la, lb) >= 8").select("a", "b")
-    stray = two.join(settled.toDF("a").withColumn("sa", F.lit(True)), "a", "left").join(settled.toDF("b").withColumn("sb", F.lit(True)), "b", "left").where("sa IS NULL OR sb IS NULL").select("a", "b")
+    two = pairs.where("d = 2").join(size.toDF("a", "la"), "a").join(size.toDF("b", "lb"), "b").where(F.least("la", "lb") >= LONG_CORE).select("a", "b")
     # Cores cut short by a full stop: exact prefix look-up.
     heads = strong.select("kind", "core", "u").where(F.length("core") >= 6)
     prefix = heads.select("kind", "u", F.explode(F.sequence(F.lit(5), F.length("core") - 1)).alias("l"), "core").select("kind", "u", F.expr("substring(core, 1, l)").alias("head"))
@@ -586,7 +585,7 @@ def link_names(names: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFr
     chosen = fits.groupBy("w").agg(F.min(F.struct("d", "s")).alias("best"), F.min("so").alias("least"), F.max("so").alias("most"))
     resolved = chosen.where("least = most").select(F.col("w").alias("a"), F.col("best.s").alias("b"))
     alone = facts.where("wa AND wb AND oa = ob").join(chosen.select(F.col("w").alias("a")), "a", "left_anti").join(chosen.select(F.col("w").alias("b")), "b", "left_anti").select("a", "b")
-    return own.union(close).union(stray).union(truncated).union(resolved).union(alone)
+    return own.union(close).union(two).union(truncated).union(resolved).union(alone)
 
 
 def same_entities(df: DataFrame, aliases: DataFrame, key: str = "vec_id", name: str = "entity_name", kind: str = "entity_type") -> tuple[DataFrame, DataFrame]:
