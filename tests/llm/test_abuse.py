@@ -87,3 +87,15 @@ def test_rows_and_rates(spark, examples, monkeypatch):
     assert A.score(docs.limit(0), labels).collect() == []
     by = {r.source: r.documents for r in A.rates(docs.dropDuplicates(["doc_id"]), scores.dropDuplicates(["doc_id"])).collect()}
     assert by == {"a": 2, "b": 1, None: 1}
+
+
+def test_scored_rows_take_no_part_in_the_fit(spark, examples, monkeypatch):
+    fits = []
+    monkeypatch.setattr(A, "train", lambda known, background=None: fits.append((known, background)) or A.Model({"": 0, "0": 1, "?": 2}, {}, {}))
+    labels = spark.createDataFrame(examples, "item_id bigint, text string, abusive int")
+    for text in ("unlisted wording of an insult", "another text"):
+        A.score(spark.createDataFrame([(i, text) for i in range(50)], "doc_id bigint, text string"), labels)
+    assert fits[0] == fits[1]
+    known, background = fits[0]
+    abusive = {t for t, y in known if y}
+    assert background and "unlisted wording of an insult" not in background and not abusive & set(background)

@@ -11,10 +11,9 @@ and accented letters, invisible characters, digits and signs for letters,
 letters spaced apart, repeated letters, masked letters.
 
 The network is fitted on at most ``FIT_ROWS`` labelled examples, on phrases
-composed from general lists and, as background taken for harmless, on windows of
-at most ``BACKGROUND_ROWS`` documents that hold none of the telling words;
-scoring, windows and the threshold cover all texts
-and are the same at every size.
+composed from general lists and, as background, on windows of the examples
+labelled harmless and of fixed bundled text (``abuse_background.py``); the rows
+to be scored take no part, so the fit is the same at every size.
 
 Results: one row a document.  Null, empty and blank texts and texts without a
 word score 0.  Very long texts are scored whole.  Repeated rows score alike.
@@ -32,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import abuse_background
 from weftgraph.llm import abuse_grammar as G
 
 WINDOW, STEP = 12, 6
@@ -40,8 +40,7 @@ TRIGRAMS = 4096
 THRESHOLD = 0.5
 #: Labelled rows used for fitting: those of the smallest key.
 FIT_ROWS = 20_000
-#: Documents whose windows serve as background in fitting: those of the smallest key hash.
-BACKGROUND_ROWS = 3000
+#: Windows of background in fitting, at most.
 BACKGROUND_WINDOWS = 14_000
 COMPOSED = 7000
 EPOCHS = 6
@@ -284,7 +283,7 @@ def _sentences(text: str) -> list[str]:
 
 
 def _background(texts: list[str], telling: set[str], rng: random.Random) -> list[tuple[list[str], int, float]]:
-    """Windows of unlabelled texts without a telling word, taken for harmless."""
+    """Windows of harmless texts without a telling word."""
     out: list[tuple[list[str], int, float]] = []
     every = []
     for t in texts:
@@ -481,11 +480,9 @@ class Scorer:
 def score(df: DataFrame, examples: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "item_id", label_text: str = "text", label: str = "abusive") -> DataFrame:
     """``key, score double``: the abuse score of every row."""
     rows = examples.select(F.col(label_key).alias("k"), F.col(label_text).alias("t"), F.col(label).cast("int").alias("y")).where("t IS NOT NULL AND y IS NOT NULL").orderBy("k", "t").limit(FIT_ROWS).collect()
-    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("length(t) > 0").withColumn("h", F.xxhash64("k") / F.lit(2.0**63))
-    # A share that holds about four times the rows wanted, of which the first are taken.
-    share = min(1.0, 4 * BACKGROUND_ROWS / max(1, df.count()))
-    ground = docs.where(F.col("h") <= -1 + 2 * share).orderBy("h", "k").limit(BACKGROUND_ROWS).select("t").collect()
-    shared = df.sparkSession.sparkContext.broadcast(train([(r["t"], r["y"]) for r in rows], [r["t"] for r in ground]))
+    known = [(r["t"], r["y"]) for r in rows]
+    # No row that is scored takes part in the fit.
+    shared = df.sparkSession.sparkContext.broadcast(train(known, [*(t for t, y in known if not y), *abuse_background.texts()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

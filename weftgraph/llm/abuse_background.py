@@ -1,0 +1,69 @@
+"""Fixed harmless text for fitting the abuse scorer: invented business, technical and medical wording.
+
+General vocabulary of five languages, put together by a seeded generator; no row
+of any table is read.
+"""
+
+from __future__ import annotations
+
+import random
+
+TEXTS, SEED = 1500, 5
+
+# fmt: off
+_EN = """annual quarterly monthly interim regulatory residual deferred preliminary consolidated residential commercial industrial strategic operational outsourced leased audited adjusted structural seasonal regional global domestic weak strong stable late early large small new old main average net gross total final
+revenue margin cost price discount tender contract treaty mandate audit committee board claim provision reserve emission energy plant factory warehouse shipment freight logistics cargo locomotive corpus utilisation capacity demand supply inventory order customer supplier partner employee manager analyst investor shareholder regulator patient doctor clinic treatment dose trial sensor server network database process thread query cache update release version ticket invoice payment account balance asset liability loan bond fund share dividend guidance forecast outlook result quarter year segment market sector industry company group subsidiary policy rule training survey complaint delay error failure risk loss injury attack virus defect penetration exposure execution strike termination discharge
+rose fell increased decreased expects reported announced confirmed reviewed approved rejected delayed improved declined supports requires includes covers follows replaces removes kills crashes blocks exploits attacks treats closed opened signed leased hired trained muted anchored revised scheduled planned funded priced traded shipped signed million billion thousand percent megawatts barrels tonnes units january february march april may june july august september october november december monday friday director chairman president officer secretary capital goodwill levy fiscal tax subscription interest rate index entity graph node document because following despite during although between among under over until since"""
+_GLUE = {
+    "en": "the a of and in to for with on by from as at is was are were will has had this that its our we they it after before while which".split(),
+    "de": "der die das und in zu für mit auf von aus als bei ist war wird hat haben ein eine den dem nach vor während nicht sich wir sie es".split(),
+    "es": "el la los las de y en para con por desde como es fue son será ha un una del al tras antes mientras no se su que lo".split(),
+    "fr": "le la les de et en à pour avec sur par depuis comme est était sont sera a un une du des au après avant pendant ne pas se son que".split(),
+}
+_WORDS = {
+    "en": _EN.split(),
+    "de": """Umsatz Marge Kosten Preis Rabatt Ausschreibung Vertrag Auftrag Prüfung Ausschuss Vorstand Aufsichtsrat Anspruch Rückstellung Rücklage Emission Energie Werk Fabrik Lager Lieferung Fracht Logistik Kapazität Nachfrage Angebot Bestand Bestellung Kunde Lieferant Partner Mitarbeiter Analyst Anleger Aktionär Behörde Patient Arzt Klinik Behandlung Dosis Studie Rechner Netzwerk Datenbank Prozess Rechnung Zahlung Konto Anleihe Fonds Aktie Dividende Ausblick Ergebnis Quartal Jahr Markt Branche Unternehmen Konzern Richtlinie Schulung Beschwerde Verzögerung Fehler Ausfall Risiko Verlust Gesellschaft Steuer Bericht Zins schwach stark stabil spät neu alt groß klein vorläufig jährlich monatlich betrieblich regional Bilanz Kapital Leitung Vorsitz Million Prozent Januar März Juli Oktober verschoben stieg sank erwartet meldete bestätigte genehmigte verbesserte erfordert enthält ersetzt""".split(),
+    "es": """ingresos margen coste precio descuento licitación contrato tratado auditoría comité consejo reclamación provisión reserva emisión energía planta fábrica almacén envío carga logística capacidad demanda oferta inventario pedido cliente proveedor socio empleado analista inversor accionista regulador paciente médico clínica tratamiento dosis ensayo servidor red base datos proceso factura pago cuenta bono fondo acción dividendo previsión resultado trimestre año mercado sector empresa grupo política formación encuesta queja retraso error fallo riesgo pérdida impuesto informe interés débil fuerte estable nuevo viejo grande pequeño preliminar anual mensual operativo regional balance capital director presidente millones ciento enero marzo julio octubre diferido aplazado subió bajó espera informó confirmó aprobó mejoró requiere incluye sustituye""".split(),
+    "fr": """revenus marge coût prix remise appel contrat traité audit comité conseil réclamation provision réserve émission énergie usine entrepôt livraison fret logistique capacité demande offre stock commande client fournisseur partenaire employé analyste investisseur actionnaire régulateur patient médecin clinique traitement dose essai serveur réseau base données processus facture paiement compte obligation fonds action dividende prévision résultat trimestre année marché secteur entreprise société groupe politique formation enquête plainte retard erreur panne risque perte impôt rapport intérêt faible fort stable nouveau ancien grand petit préliminaire annuel mensuel régional bilan capital directeur président millions janvier mars juillet octobre différé reporté augmenté baissé attend annonce confirme approuve améliore exige comprend remplace""".split(),
+}
+_ZH = """摘要 预测 报告 技术 政策 关系 改善 延迟 税率 库存 芯片 市场 公司 集团 收入 利润 成本 价格 合同 订单 客户 供应商 员工 管理 董事会 审计 委员会 季度 年度 同比 增长 下降 预计 公布 确认 批准 能源 工厂 仓库 运输 物流 产能 需求 供应 投资 股东 监管 患者 医生 治疗 剂量 试验 服务器 网络 数据库 系统 更新 版本 付款 账户 债券 基金 股份 分红 展望 业绩 行业 部门 风险 损失 错误 故障 培训 调查 投诉 稳定 疲软 强劲 主要 重要 新 的 和 在 了 将 与 对 为 是 本 该 由于 因此 以及 目前 今年 去年 上升 上涨 下跌 下调 上调 电池 汽车 手机 软件 硬件 平台 流量 数量 质量 索引 图谱 文档 实体 权重 模型 算法 区域 地区 城市 港口 航空 铁路 公路 农业 制造 化工 医药 保险 银行 贷款 利率 汇率 资产 负债 资本 现金 补贴 收购 合并 重组 战略 计划 项目 产品 服务 品牌 渠道 价值 数量 节点 查询 缓存 线程 进程 接口 测试 数据 信息 安全 环境 排放 电力 天然气 石油 钢铁 矿业 建筑 房地产 零售 消费 进口 出口 贸易 关税 法规 许可 专利 研究 开发 创新 效率 目标 会议 总裁 董事 经理 主席 高级 全球 国际 国内 海外 第一 第二 万 亿 元 百分点 不 未 已 可能 预期 高于 低于 超过 达到 约""".split()
+_SYLLABLES = "stal mir dor ven kal zu pes ron ti lam gro ing nor wal ber jun hir sam".split()
+# fmt: on
+
+
+def _name(rng: random.Random) -> str:
+    return "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(2, 4))).title()
+
+
+def _sentence(lang: str, rng: random.Random) -> str:
+    if lang == "zh":
+        return "".join(rng.choice(_ZH) for _ in range(rng.randint(5, 14))) + rng.choice("。。，；")
+    out = []
+    for _ in range(rng.randint(6, 18)):
+        x = rng.random()
+        out.append(rng.choice(_GLUE[lang]) if x < 0.42 else rng.choice(_WORDS[lang]) if x < 0.86 else _name(rng) if x < 0.94 else rng.choice([f"{rng.randint(1, 9999):,}", f"Q{rng.randint(1, 4)} {rng.randint(2010, 2030)}", f"{rng.randint(1, 99)}.{rng.randint(0, 9)}%"]))
+    return " ".join(out).capitalize() + "."
+
+
+def _table(lang: str, rng: random.Random) -> str:
+    word = lambda: rng.choice(_ZH if lang == "zh" else _WORDS[lang])
+    cell = lambda: rng.choice([f"{word()} {word()}", word(), f"{rng.randint(1, 9999):,}", f"{rng.randint(1, 99)}.{rng.randint(0, 9)}%", _name(rng), f"Q{rng.randint(1, 4)}", ""])
+    width = rng.randint(2, 5)
+    row = lambda t: "<tr>" + "".join(f"<{t}>{cell()}</{t}>" for _ in range(width)) + "</tr>"
+    return "<table>" + row("th") + "".join(row("td") for _ in range(rng.randint(2, 8))) + "</table>"
+
+
+def _records(lang: str, rng: random.Random) -> str:
+    kind = lambda: rng.choice(["person", "organization", "event", "product", "metric", "place"])
+    one = lambda: rng.choice([f'("entity"<|>{_name(rng)} {_name(rng)}<|>{kind()}<|>{_sentence(lang, rng)})', f'("relationship"<|>{_name(rng)}<|>{_name(rng)}<|>{rng.choice(_WORDS["en"])}<|>{_sentence(lang, rng)}<|>{rng.randint(1, 9)})'])
+    return "##".join(one() for _ in range(rng.randint(2, 5))) + "<|COMPLETE|>"
+
+
+def texts() -> list[str]:
+    rng = random.Random(SEED)
+    out = []
+    for _ in range(TEXTS):
+        lang = rng.choice(["en", "en", "en", "zh", "zh", "de", "es", "fr"])
+        parts = [rng.choice([_sentence, _sentence, _sentence, _sentence, _table, _records])(lang, rng) for _ in range(rng.randint(2, 8))]
+        out.append(rng.choice([" ", "\n", "\n- "]).join(parts))
+    return out
