@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as X
+from weftgraph.models import Config, QueryParam
 from weftgraph.operators import graph as G
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import vectors as V
@@ -126,9 +127,9 @@ def _hop_sql(h: int, frontier: str, visited: str) -> str:
 HOPS = f"{SIMS}, {_hop_sql(1, 'seeds', 'SELECT id FROM seeds')}, {_hop_sql(2, 'f1', 'SELECT id FROM seeds UNION SELECT id FROM n1')}"
 
 
-def expanded(spark, sf):
+def expanded(spark, sf, top=HOPS_TOP):
     edges, seeds, ent, rel = sims(spark, sf)
-    return R.multi_hop(edges, seeds, ent, rel, 2, HOPS_TOP, HOPS_THRESHOLD), edges, seeds, ent, rel
+    return R.multi_hop(edges, seeds, ent, rel, 2, top, HOPS_THRESHOLD), edges, seeds, ent, rel
 
 
 @q("rt06_multi_hop", f"WITH {HOPS} SELECT id AS entity_name, via, round(score, 6) AS score, 1 AS hop FROM n1 UNION ALL SELECT id, via, round(score, 6), 2 FROM n2")
@@ -221,6 +222,51 @@ def rt15(spark, sf):
     return G.induced(edges, every).select("src", "tgt", "rank")
 
 
+# The same at the engine's own settings, without SQL; tested against brute force.
+
+
+@q("rt06_multi_hop_10")
+def rt6_full(spark, sf):
+    return expanded(spark, sf, QueryParam.top_neighbors)[0].withColumn("score", F.round("score", 6))
+
+
+@q("rt10_fastrp_256")
+def rt10_full(spark, sf):
+    edges, *_ = sims(spark, sf)
+    return R.fastrp(edges, Config.fastrp_dim).select("entity_name", "d", F.round("x", 6).alias("x"))
+
+
+@q("rt11_structural_scores_256")
+def rt11_full(spark, sf):
+    edges, seeds, *_ = sims(spark, sf)
+    return R.structural_scores(R.fastrp(edges, Config.fastrp_dim), seeds).select("entity_name", F.round("score", 6).alias("score"))
+
+
+@q("rt12_structural_top_256")
+def rt12_full(spark, sf):
+    return rt11_full(spark, sf).orderBy(F.desc("score"), "entity_name").limit(20)
+
+
+@q("rt13_merge_entities_10")
+def rt13_full(spark, sf):
+    hop, edges, seeds, ent, rel = expanded(spark, sf, QueryParam.top_neighbors)
+    return R.merge_entities(("multihop", hop), ("ppr", R.query_aware_pagerank(edges, seeds, ent, rel, 50, ITERATIONS, tolerance=None)))
+
+
+@q("rt14_merge_relations_10")
+def rt14_full(spark, sf):
+    hop, edges, *_ = expanded(spark, sf, QueryParam.top_neighbors)
+    return R.merge_relations(hop.select(F.col("via").alias("src"), F.col("entity_name").alias("tgt")), edges)
+
+
+@q("rt15_three_perspectives_10")
+def rt15_full(spark, sf):
+    hop, edges, seeds, ent, rel = expanded(spark, sf, QueryParam.top_neighbors)
+    more = R.query_aware_pagerank(edges, seeds, ent, rel, 50, ITERATIONS, tolerance=None)
+    every = seeds.select("entity_name").union(hop.select("entity_name")).union(more.select("entity_name"))
+    return G.induced(edges, every).select("src", "tgt", "rank")
+
+
 _ENDS = f"{PAIRS}, lk AS (SELECT src, tgt FROM ve UNION ALL SELECT tgt, src FROM ve), tp AS (SELECT id, row_number() OVER (ORDER BY c DESC, id) AS r FROM vd), s0 AS (SELECT id AS a FROM tp WHERE r = 1), s1 AS (SELECT id AS b FROM tp WHERE r = 2)"
 
 
