@@ -92,3 +92,17 @@ def test_stream_equals_batch(spark, tmp_path, whole):
     e = engine(spark, tmp_path / "s")
     stream_folder(e, str(folder), str(tmp_path / "cp")).awaitTermination()
     assert state(e) == state(whole)
+
+
+def test_malformed_records_are_asked_again(spark, tmp_path):
+    def answer(prompts):
+        first = "(entity<|>Acme<|>organization<|>Acme sells)##(entity<|>Zeta<|>organization)##(relationship<|>Acme<|>Zeta)<|COMPLETE|>"
+        whole = "(entity<|>Acme<|>organization<|>another)##(entity<|>Zeta<|>organization<|>Zeta buys)##(relationship<|>Acme<|>Zeta<|>trade<|>Acme sells to Zeta<|>2)<|COMPLETE|>"
+        return [whole if "too few fields" in p else first for p in prompts]
+
+    e = Engine(spark, str(tmp_path), Config(generate=answer, embed=hashed_vectors))
+    e.insert(spark.createDataFrame([(1, "acme sells to zeta", "a.txt")], "ord int, content string, file_path string"))
+    assert {r.entity_name.lower(): r.description for r in e.store.read("nodes").collect()} == {"acme": "Acme sells", "zeta": "Zeta buys"}
+    assert [(r.description, r.weight) for r in e.store.read("edges").collect()] == [("Acme sells to Zeta", 2.0)]
+    chunk = e.store.read("text_chunks").first()["id"]
+    assert {r.source_id for r in e.store.read("entity_mentions").collect()} == {chunk}

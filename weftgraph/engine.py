@@ -17,8 +17,13 @@ from weftgraph.operators import reduce as R
 from weftgraph.operators import retrieval as Q
 from weftgraph.operators import stores as S
 from weftgraph.operators import vectors as V
+from weftgraph.plans.scratch import Scratch
 from weftgraph.tables import Store
 
+#: Rounds in which chunks with malformed records are asked again, and what is asked.
+RETRIES = 2
+AGAIN = "\n\nthese records have too few fields, give them whole:\n"
+
 
 @dataclass
 class Answer:
@@ -76,11 +81,21 @@ class Engine:
 
     def _extract(self, docs: DataFrame) -> None:
         chunks = self.store.read("text_chunks").join(docs, "full_doc_id", "left_semi")
-        answers = E.ask(chunks.select("id", "content", "full_doc_id", "file_path", "time_label"), self.config.generate, "content")
-        recs = E.records(answers, "answer").drop("content", "answer")
-        ord_ = F.concat_ws("|", "full_doc_id", "id", F.lpad(F.col("ord").cast("string"), 8, "0"))
-        recs = recs.withColumn("source_id", F.col("id")).withColumn("ord", ord_)
-        ent, rel = E.entities(recs, "time_label"), E.relations(recs, "time_label")
+        scratch = Scratch(self.spark, "extract")  # the model is asked once a round
+        ask = chunks.select("id", "content", "full_doc_id", "file_path", "time_label", F.col("content").alias("_p"))
+        for round_ in range(1 + RETRIES):
+            recs = scratch.save(E.records(E.ask(ask, self.config.generate, "_p"), "answer").drop("answer", "_p"))
+            place = F.lpad((F.col("ord") + round_ * 10_000_000).cast("string"), 8, "0")
+            told = recs.drop("content").withColumn("source_id", F.col("id")).withColumn("ord", F.concat_ws("|", "full_doc_id", "id", place))
+            more_ent, more_rel = E.entities(told, "time_label"), E.relations(told, "time_label")
+            if round_ == 0:
+                ent, rel = more_ent, more_rel
+            else:
+                ent, rel = E.gleaned(ent, more_ent, ["source_id", "entity_name"]), E.gleaned(rel, more_rel, ["source_id", "src_id", "tgt_id"])
+            bad = E.malformed(recs).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.array_join("fields", E.FIELD))), "\n").alias("_b"))
+            ask = scratch.save(chunks.select("id", "content", "full_doc_id", "file_path", "time_label").join(bad, "id").withColumn("_p", F.concat(F.col("content"), F.lit(AGAIN), F.col("_b"))).drop("_b"))
+            if ask.limit(1).count() == 0:
+                break
         again = chunks.select(F.col("id").alias("source_id")).distinct()
         for name, fresh in (("entity_mentions", ent), ("relation_mentions", rel)):
             self.store.write(name, self.store.read(name).join(again, "source_id", "left_anti").unionByName(fresh.select(*self.store.read(name).columns)))
