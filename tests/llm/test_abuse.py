@@ -22,14 +22,29 @@ def examples():
 
 @pytest.fixture(scope="module")
 def half(examples):
-    return A.train([(t, y) for i, t, y in examples if i % 2], [t for i, t, y in examples if i % 2 and not y])
+    return A.train([(t, y) for i, t, y in examples if i % 2])
 
 
 def test_held_out_accuracy(examples, half):
     rest = [(t, y) for i, t, y in examples if i % 2 == 0]
     s = A.Scorer(half).score([t for t, _ in rest])
     right = [(v >= A.THRESHOLD) == bool(y) for v, (_, y) in zip(s, rest)]
-    assert np.mean(right) >= 0.9
+    assert np.mean(right) >= 0.93
+
+
+def test_passages_between_two_steps_are_scored(half):
+    scorer = A.Scorer(half)
+    filler = "the quarterly margin of the plant rose and the board approved it in march before the audit".split()
+    scores = [float(scorer.score([" ".join([*filler[:k], "i will kill you", *filler])])[0]) for k in range(12)]
+    assert min(scores) >= A.THRESHOLD
+
+
+def test_a_group_nobody_knows_is_made_of_syllables():
+    import random
+
+    rng = random.Random(3)
+    made = {A.G.group(rng) for _ in range(400)}
+    assert len(made - set(A.G.GROUPS)) > 100
 
 
 def test_scores_do_not_depend_on_the_company(half):
@@ -91,11 +106,9 @@ def test_rows_and_rates(spark, examples, monkeypatch):
 
 def test_scored_rows_take_no_part_in_the_fit(spark, examples, monkeypatch):
     fits = []
-    monkeypatch.setattr(A, "train", lambda known, background=None: fits.append((known, background)) or A.Model({"": 0, "0": 1, "?": 2}, {}, {}))
+    monkeypatch.setattr(A, "_fitted", {})
+    monkeypatch.setattr(A, "train", lambda known, folder: fits.append(known) or A.Model({"": 0, "0": 1, "?": 2}, {}, {}))
     labels = spark.createDataFrame(examples, "item_id bigint, text string, abusive int")
     for text in ("unlisted wording of an insult", "another text"):
         A.score(spark.createDataFrame([(i, text) for i in range(50)], "doc_id bigint, text string"), labels)
-    assert fits[0] == fits[1]
-    known, background = fits[0]
-    abusive = {t for t, y in known if y}
-    assert background and "unlisted wording of an insult" not in background and not abusive & set(background)
+    assert len(fits) == 1 and "unlisted wording of an insult" not in {t for t, _ in fits[0]}  # once, for both

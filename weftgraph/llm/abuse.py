@@ -10,10 +10,14 @@ placed by their letters.  Before that the usual disguises are undone: full-width
 and accented letters, invisible characters, digits and signs for letters,
 letters spaced apart, repeated letters, masked letters.
 
-The network is fitted on at most ``FIT_ROWS`` labelled examples, on phrases
-composed from general lists and, as background, on windows of the examples
-labelled harmless and of fixed bundled text (``abuse_background.py``); the rows
-to be scored take no part, so the fit is the same at every size.
+The network is fitted on at most ``FIT_ROWS`` labelled examples, varied by
+exchanging words of one class, on phrases composed from general lists and, as
+background, on harmless examples into which words of a public tokenizer's
+vocabulary are mixed; the rows to be scored take no part, so the fit is the same
+at every size.  A fitted model is kept for later calls of the same process.
+
+Windows start every ``STEP`` words; around those that score ``NEAR`` or more,
+and less than the threshold, every window is scored.
 
 Results: one row a document.  Null, empty and blank texts and texts without a
 word score 0.  Very long texts are scored whole.  Repeated rows score alike.
@@ -21,6 +25,8 @@ word score 0.  Very long texts are scored whole.  Repeated rows score alike.
 
 from __future__ import annotations
 
+import base64
+import os
 import random
 import re
 import unicodedata
@@ -31,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm import abuse_background
 from weftgraph.llm import abuse_grammar as G
+from weftgraph.llm.bpe import VOCABULARIES
 
 WINDOW, STEP = 12, 6
 DIM, HIDDEN, ATTENTION = 24, 14, 12
@@ -40,10 +46,16 @@ TRIGRAMS = 4096
 THRESHOLD = 0.5
 #: Labelled rows used for fitting: those of the smallest key.
 FIT_ROWS = 20_000
-#: Windows of background in fitting, at most.
-BACKGROUND_WINDOWS = 14_000
-COMPOSED = 7000
-EPOCHS = 6
+#: Windows of background in fitting; those drawn to find hard ones among them, and how many are kept a time.
+BACKGROUND_WINDOWS = 9000
+POOL_WINDOWS, HARD_WINDOWS = 60_000, 5000
+#: The public vocabulary whose words the background holds.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Composed sentences, and variants of each abusive example.
+COMPOSED, VARIANTS = 4500, 12
+#: Score from which the windows between two steps are scored too.
+NEAR = 0.05
+EPOCHS, FIRST_EPOCHS = 6, 3
 SEED = 11
 PAD, NUMBER, UNKNOWN = 0, 1, 2
 
@@ -69,6 +81,8 @@ def reading(token: str) -> str:
     if token.isalpha() and token.isascii():
         return _RUN.sub(r"\1", token) if len(token) > 3 else token
     t = token.strip("'’!")
+    if not token:
+        return ""
     if not t or t[0].isdigit() and not any(c.isalpha() for c in t):
         return "0"
     if any(c in "0134579@$!8" for c in t) and sum(c.isalpha() for c in t) >= 2 and not re.fullmatch(r"\d+\w|q\d|\w\d+", t):
@@ -114,8 +128,8 @@ class Model:
     def vector(self, word: str):
         w = self.weights
         word = self.canonical(word)
-        if word == "0":
-            return w["E"][NUMBER]
+        if word in ("", "0"):
+            return w["E"][NUMBER if word else PAD]
         return w["E"][self.vocabulary.get(word, UNKNOWN)] + w["C"][trigrams(word)].mean(axis=0)
 
 
@@ -212,38 +226,109 @@ def _step(w, words, tri, tri_n, y, wt):
     return g, dx
 
 
-def _compose(examples: list[tuple[str, int]], rng: random.Random) -> list[tuple[list[str], int, float]]:
-    """Training windows (words, label, weight)."""
+def listed_words() -> set[str]:
+    """Words of the lists of abuse."""
+    return {x for c in (*G.CLASSES, G.VERMIN, G.ZH) for s in c for x in words_of(s)}
+
+
+def grammar_words() -> set[str]:
+    return listed_words() | {x for c in (G.INSULTS, G.THREATS, G.HATE, G.SEXUAL, G.OTHER) for s in c for x in words_of(re.sub(r"\{.\}", " ", s))}
+
+
+def vocabulary_words(folder: str) -> list[str]:
+    """Whole words of a public multilingual vocabulary, commonest first; none where the file is missing."""
+    path = os.path.join(folder, VOCABULARY)
+    if not os.path.exists(path):
+        return []
+    out: dict[str, None] = {}
+    with open(path, "rb") as f:
+        for line in f:
+            try:
+                w = base64.b64decode(line.split()[0]).decode()
+            except (UnicodeDecodeError, IndexError):
+                continue
+            bare = w.strip().lower()
+            if bare.isalpha() and (_TOKEN.fullmatch(bare[0]) and not bare[0].isascii() and "一" <= bare[0] <= "鿿" or w[0] == " " and len(bare) > 2):
+                out[bare] = None
+    return list(out)
+
+
+def common_han() -> list[str]:
+    """The commoner half of the characters of the GB 2312 standard, from their places in it."""
+    out = []
+    for row in range(0xB0, 0xD8):
+        for at in range(0xA1, 0xFF):
+            try:
+                out.append(bytes([row, at]).decode("gb2312"))
+            except UnicodeDecodeError:
+                continue
+    return out
+
+
+def _compose(harmless_texts: list[str], passages: list[str], rng: random.Random, public: list[str]) -> tuple[list[tuple[list[str], int, float]], list[list[str]]]:
+    """Training windows (words, label, weight), and a pool of further harmless windows."""
     sentences: list[tuple[list[str], int]] = []
     harmless = [words_of(s) for s in G.HARMLESS]
-    clean: list[list[str]] = [words_of(s) for t, y in examples if not y for s in _sentences(t)]
+    clean: list[list[str]] = [words_of(s) for s in harmless_texts]
     clean = [s for s in clean if s]
-    usual = {w for s in clean for w in s}
-    for t, y in examples:
-        if y:
-            parts = [(s, words_of(s)) for s in _sentences(t)]
-            parts = [(s, w) for s, w in parts if w]
-            odd = [(sum(x not in usual for x in w) / len(w), s) for s, w in parts]
-            if odd:
-                sentences += [(words_of(max(odd)[1]), 1)] * 6
-    for _ in range(COMPOSED):
-        s = G.sentence(rng)
+
+    def disguised(s: str) -> list[str]:
         if rng.random() < 0.45:
             w = s.split(" ")
             for _ in range(rng.choice((1, 1, 2))):
                 i = max(range(len(w)), key=lambda i: len(w[i]) * rng.random())
                 w[i] = G.disguise(w[i], rng)
             s = " ".join(w)
+        return words_of(s)
+
+    sentences += [(disguised(G.sentence(rng)), 1) for _ in range(COMPOSED)]
+    counts: dict[str, list[int]] = {}
+    for w, _ in sentences:
+        for x in w:
+            counts.setdefault(x, [0, 0])[1] += 1
+    for w in [*clean, *harmless]:
+        for x in w:
+            counts.setdefault(x, [0, 0])[0] += 1
+    lists = listed_words()
+    telling = lists | {x for x, (n, p) in counts.items() if p >= 10 and p > 5 * n and len(x) > 2}
+    spare = [w for w in public if w not in telling] or [x for s in clean for x in s if len(x) > 3]
+    signs = common_han()
+    latin, han = [w for w in spare if w[0] < "一"], [w for w in spare if w[0] >= "一"]
+
+    def odd_word() -> list[str]:
+        if han and rng.random() < 0.12:
+            return list(rng.choice(han))
+        if latin and rng.random() < 0.8:
+            return [latin[int(len(latin) * rng.random() ** 2)]]
+        if rng.random() < 0.25:
+            return ["0"]
+        piece = lambda: rng.choice("bdfghjklmnprstvwz") + rng.choice("aeiou") + rng.choice(["", "", "l", "n", "r", "s", "m", "rt", "ng"])
+        return ["".join(piece() for _ in range(rng.randint(2, 4))) + rng.choice(["", "", "", "s", "ing", "ed", "ly", "ation"])]
+
+    for s in passages:
         sentences.append((words_of(s), 1))
-    nouns = [w for s in clean for w in s if len(w) > 3 and w.isalpha()]
-    out: list[tuple[list[str], int, float]] = []
+        # Words that no list has may stand there by chance: they are exchanged at times, so that the rest tells.
+        for _ in range(VARIANTS):
+            w = disguised(G.varied(plain(s), rng))
+            sentences.append(([y for x in w for y in (odd_word() if x not in lists and len(x) > 3 and rng.random() < 0.25 else [x])], 1))
+    sentences = [(w, y) for w, y in sentences if w]
 
-    def odd_word() -> str:
-        if rng.random() < 0.5:
-            return rng.choice(nouns) if nouns else "plan"
-        return "".join(rng.choice(["stal", "mir", "dor", "ven", "kal", "zu", "pes", "ron", "ti", "lam", "gro", "ing", "ation", "ly", "ed", "con", "er", "un", "ch", "ment", "al"]) for _ in range(rng.randint(2, 4)))
+    chinese = [s for s in clean if sum("一" <= x[0] <= "鿿" for x in s) > len(s) / 2]
 
-    def business(n: int) -> list[str]:
+    def script(n: int) -> list[str]:
+        """Harmless Chinese."""
+        got: list[str] = []
+        while len(got) < n:
+            how = rng.random()
+            got += rng.choice(chinese) if chinese and how < 0.25 else list(rng.choice(han)) if how < 0.6 else [rng.choice(signs) for _ in range(rng.randint(1, 4))] if how < 0.96 else odd_word()
+        at = rng.randint(0, len(got) - n)
+        return got[at : at + n]
+
+    def around(w: list[str], n: int) -> list[str]:
+        """Context in the passage's script."""
+        return script(n) if han and w and "一" <= w[0][0] <= "鿿" and rng.random() < 0.8 else business(n)
+
+    def business(n: int, odd: float = 0.15) -> list[str]:
         got: list[str] = []
         while len(got) < n:
             s = rng.choice(clean) if clean and rng.random() < 0.9 else rng.choice(harmless)
@@ -251,16 +336,17 @@ def _compose(examples: list[tuple[str, int]], rng: random.Random) -> list[tuple[
                 got += words_of(rng.choice(G.GREETINGS))
             if rng.random() < 0.05:
                 got += words_of(rng.choice(G.CLOSERS))
-            got += [odd_word() if rng.random() < 0.15 and len(x) > 3 else x for x in s]
+            for x in s:
+                got += odd_word() if rng.random() < odd and len(x) > 3 else [x]
         at = rng.randint(0, len(got) - n)
         return got[at : at + n]
 
+    out: list[tuple[list[str], int, float]] = []
     for w, y in sentences:
-        w = w[: WINDOW + 4]
         room = WINDOW - len(w)
         if room > 0:
             a = rng.randint(0, room) if rng.random() < 0.75 else room
-            use = [*(business(a) if a else []), *w, *(business(room - a) if room > a and rng.random() < 0.85 else [])]
+            use = [*(around(w, a) if a else []), *w, *(around(w, room - a) if room > a and rng.random() < 0.85 else [])]
         else:
             at = rng.randint(0, -room)
             use = w[at : at + WINDOW]
@@ -271,46 +357,63 @@ def _compose(examples: list[tuple[str, int]], rng: random.Random) -> list[tuple[
     for s in harmless * 14:
         room = WINDOW - len(s)
         a = rng.randint(0, max(0, room))
-        s = [odd_word() if rng.random() < 0.1 and len(x) > 4 else x for x in s]
+        s = [y for x in s for y in (odd_word() if rng.random() < 0.1 and len(x) > 4 else [x])]
         opener = words_of(rng.choice(G.GREETINGS))
         out.append(([*(business(a) if a else opener), *s, *(business(room - a) if room > a else [])][:WINDOW], 0, 1.0))
+
+    def background() -> list[str]:
+        how = rng.random()
+        got: list[str] = []
+        if how < 0.3 and han:
+            got = script(WINDOW)
+        elif how < 0.4:  # words without a sentence
+            while len(got) < WINDOW:
+                got += odd_word()
+        elif how < 0.55:  # cells of a table, fields of a record
+            mark = rng.choice([["td", "td"], ["td"], ["th", "th"], ["tr", "td"], ["entity"], ["relationship"], []])
+            while len(got) < WINDOW:
+                got += [*mark, *(business(rng.randint(1, 4), 0.5) if rng.random() < 0.6 else odd_word())]
+        else:
+            got = business(WINDOW, rng.choice((0.2, 0.4, 0.7)))
+        return got[:WINDOW]
+
+    out += [(background(), 0, 1.0) for _ in range(BACKGROUND_WINDOWS)]
     rng.shuffle(out)
-    return out
+    return out, [background() for _ in range(POOL_WINDOWS)]
 
 
 def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?。！？…])\s+|\n+|(?<=[。！？])", text) if s.strip()]
 
 
-def _background(texts: list[str], telling: set[str], rng: random.Random) -> list[tuple[list[str], int, float]]:
-    """Windows of harmless texts without a telling word."""
-    out: list[tuple[list[str], int, float]] = []
-    every = []
-    for t in texts:
-        ws = words_of(t)
-        every += [ws[a : a + WINDOW] for a in range(0, max(1, len(ws) - WINDOW + STEP), STEP)]
-    rng.shuffle(every)
-    for ws in every:
-        if ws and not any(x in telling for x in ws):
-            out.append((ws, 0, 1.0))
-        if len(out) == BACKGROUND_WINDOWS:
-            break
-    return out
+def train(examples: list[tuple[str, int]], folder: str = VOCABULARIES, seed: int = SEED) -> Model:
+    """Fit the network on (text, label) examples, composed phrases and background.
+
+    Only a passage of an abusive example is abusive.  A first network, fitted
+    without those examples, picks the passage; the other sentences are harmless.
+    """
+    import numpy as np
+
+    public = vocabulary_words(folder)
+    harmless = [s for t, y in examples if not y for s in _sentences(t)]
+    parts = [p for p in (_sentences(t) for t, y in examples if y) if p]
+    first = Scorer(_fit(*_compose(harmless, [], random.Random(seed), public), seed, FIRST_EPOCHS))
+    picked = [int(np.argmax(first.score(p))) for p in parts]
+    passages = [first.passage(p[i]) for p, i in zip(parts, picked)]
+    harmless += [s for p, i in zip(parts, picked) for j, s in enumerate(p) if j != i]
+    return _fit(*_compose(harmless, passages, random.Random(seed), public), seed, EPOCHS)
 
 
-def train(examples: list[tuple[str, int]], background: list[str] | None = None, seed: int = SEED) -> Model:
-    """Fit the network on (text, label) examples, composed phrases and background texts."""
+def _fit(data: list[tuple[list[str], int, float]], pool: list[list[str]], seed: int, epochs: int) -> Model:
+    """The network fitted on windows; ``pool`` holds further harmless ones."""
     import numpy as np
 
     rng = random.Random(seed)
-    data = _compose(examples, rng)
     counts: dict[str, int] = {}
     loud: dict[str, list[int]] = {}
     for ws, y, _ in data:
         for x in ws:
             loud.setdefault(x, [0, 0])[y] += 1
-    data += _background(background or [], {x for x, (n, p) in loud.items() if p >= 10 and p > 5 * n and len(x) > 3}, rng)
-    rng.shuffle(data)
     for ws, _, _ in data:
         for x in ws:
             counts[x] = counts.get(x, 0) + 1
@@ -318,25 +421,30 @@ def train(examples: list[tuple[str, int]], background: list[str] | None = None,
     for x, n in sorted(counts.items()):
         if n >= 8 and x not in vocabulary:
             vocabulary[x] = len(vocabulary)
-    marked = {x for x, (n, p) in loud.items() if x in vocabulary and p >= 12 and p > 6 * n and len(x) >= 5 and x.isascii() and x.isalpha()}
+    known = grammar_words()
+    marked = {x for x, (n, p) in loud.items() if x in vocabulary and x in known and p >= 12 and p > 6 * n and len(x) >= 5 and x.isascii() and x.isalpha()}
     keys: dict[str, str] = {}
     for x in sorted(marked):
         for k in [x, *_slips(x)]:
             if k not in vocabulary:
                 keys.setdefault(k, x)
     model = Model(vocabulary, {}, keys)
-    n = len(data)
-    ids = np.zeros((n, WINDOW), np.int64)
-    most = 10
-    tri = np.full((n, WINDOW, most), -1, np.int64)
-    for i, (ws, _, _) in enumerate(data):
-        for j, x in enumerate(ws[:WINDOW]):
-            x = model.canonical(x) if rng.random() < 0.8 else x
-            # Words are hidden at times, so that their letters alone learn to tell.
-            ids[i, j] = vocabulary.get(x, UNKNOWN) if rng.random() > 0.15 else UNKNOWN
-            if x != "0":
-                t = trigrams(x)[:most]
-                tri[i, j, : len(t)] = t
+    most = max((len(x) for ws, _, _ in data for x in ws), default=1)  # of a word's trigrams, all
+
+    def coded(windows):
+        ids = np.zeros((len(windows), WINDOW), np.int64)
+        tri = np.full((len(windows), WINDOW, most), -1, np.int16)
+        for i, ws in enumerate(windows):
+            for j, x in enumerate(ws[:WINDOW]):
+                x = model.canonical(x) if rng.random() < 0.8 else x
+                # Words are hidden at times, so that their letters alone learn to tell.
+                ids[i, j] = vocabulary.get(x, UNKNOWN) if rng.random() > 0.15 else UNKNOWN
+                if x != "0":
+                    t = trigrams(x)[:most]
+                    tri[i, j, : len(t)] = t
+        return ids, tri
+
+    ids, tri = coded([ws for ws, _, _ in data])
     y = np.array([v[1] for v in data], np.float32)
     wt = np.array([v[2] for v in data], np.float32)
     g = np.random.default_rng(seed)
@@ -348,8 +456,19 @@ def train(examples: list[tuple[str, int]], background: list[str] | None = None,
     w |= {"A": scale(2 * HIDDEN, ATTENTION), "v": scale(ATTENTION), "o": scale(2 * HIDDEN), "q": np.zeros(1, np.float32)}
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     step, batch = 0, 256
-    for epoch in range(EPOCHS):
-        rate = 0.006 * (1 - epoch / EPOCHS) + 0.0006
+    for epoch in range(epochs):
+        rate = 0.006 * (1 - epoch / epochs) + 0.0006
+        if epoch in (2, 4) and pool:  # harmless windows that look abusive so far
+            model.weights = w
+            fresh = Scorer(model)
+            some = pool[: len(pool) // 2] if epoch == 2 else pool[len(pool) // 2 :]
+            index, _ = fresh.coded([[*ws, *[""] * (WINDOW - len(ws))] for ws in some])
+            scores = np.concatenate([fresh.windows(index[at : at + 8192]) for at in range(0, len(index), 8192)])
+            hard = [i for i in np.argsort(-scores)[:HARD_WINDOWS].tolist() if scores[i] > 0.02]
+            more = coded([some[i] for i in hard])
+            ids, tri = np.concatenate([ids, more[0]]), np.concatenate([tri, more[1]])
+            y, wt = np.concatenate([y, np.zeros(len(hard), np.float32)]), np.concatenate([wt, np.full(len(hard), 1.0, np.float32)])
+        n = len(ids)
         order = g.permutation(n)
         for at in range(0, n, batch):
             use = order[at : at + batch]
@@ -447,13 +566,32 @@ class Scorer:
         """Word ids of all texts together, and the count of each text."""
         import numpy as np
 
-        tokens = [_TOKEN.findall(plain(t)) if t else [] for t in texts]
-        fresh = list(set().union(*tokens).difference(self.index))
+        ids, n = self.coded([_TOKEN.findall(plain(t)) if t else [] for t in texts])
+        return ids.reshape(-1), n
+
+    def coded(self, tokens: list[list[str]]):
+        """Ids of the tokens (one row a list where all are as long as a window), and the count of each list."""
+        import numpy as np
+
+        fresh = sorted(set().union(*tokens).difference(self.index))
         for at in range(0, len(fresh), 20_000):
             self._add(fresh[at : at + 20_000])
         get = self.index.__getitem__
         n = np.fromiter(map(len, tokens), np.int64, count=len(tokens))
-        return np.fromiter((i for ts in tokens for i in map(get, ts)), np.int64, count=int(n.sum())), n
+        flat = np.fromiter((i for ts in tokens for i in map(get, ts)), np.int64, count=int(n.sum()))
+        return (flat.reshape(-1, WINDOW) if len(n) and (n == WINDOW).all() else flat), n
+
+    def passage(self, text: str) -> str:
+        """Of a long text the stretch of words that scores highest, whole if short."""
+        import numpy as np
+
+        found = list(_TOKEN.finditer(plain(text)))
+        if len(found) <= WINDOW:
+            return text
+        ids, _ = self.ids([text])
+        win = np.stack([ids[a : a + WINDOW] for a in range(len(found) - WINDOW + 1)])
+        best = int(np.argmax(self.windows(win)))
+        return plain(text)[found[best].start() : found[best + WINDOW - 1].end()]
 
     def score(self, texts: list[str | None]):
         """The highest window score of each text; 0 without a word."""
@@ -470,19 +608,46 @@ class Scorer:
         begin, end = np.cumsum(n) - n, np.cumsum(n)
         padded = np.concatenate([ids, np.zeros(WINDOW, np.int64)])
         first = begin[doc] + k * STEP
-        for at in range(0, len(doc), 8192):
-            pos = first[at : at + 8192, None] + np.arange(WINDOW)
-            win = np.where(pos < end[doc[at : at + 8192], None], padded[np.minimum(pos, len(padded) - 1)], PAD)
-            np.maximum.at(out, doc[at : at + 8192], self.windows(win))
+        def each(doc, first):
+            for at in range(0, len(doc), 8192):
+                d = doc[at : at + 8192]
+                pos = first[at : at + 8192, None] + np.arange(WINDOW)
+                win = np.where(pos < end[d, None], padded[np.minimum(pos, len(padded) - 1)], PAD)
+                got = self.windows(win)
+                np.maximum.at(out, d, got)
+                yield got
+
+        scores = np.concatenate(list(each(doc, first)))
+        # Between two steps, where a passage may stand whole that no step holds.
+        unsure = np.flatnonzero((scores >= NEAR) & (out[doc] < THRESHOLD))
+        shift = np.concatenate([np.arange(1 - STEP, 0), np.arange(1, STEP)])
+        d = np.repeat(doc[unsure], len(shift))
+        at = (first[unsure, None] + shift).reshape(-1)
+        inside = (at >= begin[d]) & (at < end[d])
+        key = np.unique(at[inside])
+        for _ in each(np.searchsorted(end, key, side="right"), key):
+            pass
         return out
 
 
-def score(df: DataFrame, examples: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "item_id", label_text: str = "text", label: str = "abusive") -> DataFrame:
-    """``key, score double``: the abuse score of every row."""
+_fitted: dict[tuple, Model] = {}
+
+
+def fitted(examples: list[tuple[str, int]], folder: str = VOCABULARIES) -> Model:
+    """The model of these examples, fitted once a process."""
+    of = (tuple(examples), folder, COMPOSED, EPOCHS)
+    if of not in _fitted:
+        _fitted.clear()
+        _fitted[of] = train(examples, folder)
+    return _fitted[of]
+
+
+def score(df: DataFrame, examples: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "item_id", label_text: str = "text", label: str = "abusive", folder: str = VOCABULARIES) -> DataFrame:
+    """``key, score double``: the abuse score of every row; ``folder`` holds the public vocabularies."""
     rows = examples.select(F.col(label_key).alias("k"), F.col(label_text).alias("t"), F.col(label).cast("int").alias("y")).where("t IS NOT NULL AND y IS NOT NULL").orderBy("k", "t").limit(FIT_ROWS).collect()
     known = [(r["t"], r["y"]) for r in rows]
     # No row that is scored takes part in the fit.
-    shared = df.sparkSession.sparkContext.broadcast(train(known, [*(t for t, y in known if not y), *abuse_background.texts()]))
+    shared = df.sparkSession.sparkContext.broadcast(fitted(known, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
