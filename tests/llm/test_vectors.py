@@ -76,11 +76,47 @@ def test_nearest_recall(spark):
 def test_probing_is_complete_within_the_radius():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 1 << 12, size=500).astype(np.uint32)
-    found = {(min(a, b), max(a, b)) for i, j in V.probe_join(values, 2, 12) for a, b in zip(i.tolist(), j.tolist())}
+    found = {(min(a, b), max(a, b)) for i, j in V.probe_join(values.astype(np.uint64), V.masks(12)) for a, b in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a in range(500) for b in range(a + 1, 500) if bin(int(values[a] ^ values[b])).count("1") <= 2}
     assert found == want
 
 
+def test_chunks_are_complete_within_the_radius():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 14, size=400).astype(np.uint64)
+    found = set()
+    for start, n in V.chunk_spans(14):
+        place = (values >> np.uint64(start)) & np.uint64((1 << n) - 1)
+        keyed = (place << np.uint64(32)) | values
+        found |= {(min(a, b), max(a, b)) for i, j in V.probe_join(keyed, V.masks(14, V.PROBE_BITS, (start, n))) for a, b in zip(i.tolist(), j.tolist())}
+    assert found == {(a, b) for a in range(400) for b in range(a + 1, 400) if bin(int(values[a] ^ values[b])).count("1") <= V.PROBE_BITS}
+
+
+def routed(rows, parts, blocks=None, width=12, m=6):
+    """Rows that each of ``parts`` partitions meets."""
+    rng = np.random.default_rng(5)
+    import pyarrow as pa
+
+    words = V.packed(rng.random((rows, width * m)) < 0.5)
+    ids = np.arange(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array([w.tobytes() for w in words], pa.binary())], names=["id", "cls", "code"])
+    got = next(V._route(V.Shape(width, m, blocks), list(range(parts)))(iter([batch])))
+    size = 16 + 8 * words.shape[1]
+    return {p: len(r) // size for p, r in zip(got.column("p").to_pylist(), got.column("rows").to_pylist())}
+
+
+def test_every_partition_is_used_and_none_meets_all():
+    held = routed(4000, 64)
+    assert len(held) == 64 and max(held.values()) < 4000 * 0.6
+
+
+def test_split_cells_give_the_same_pairs(spark, monkeypatch):
+    x = clusters(seed=9, groups=12, each=25)
+    df = frame(spark, [(i, v) for i, v in enumerate(x.tolist())])
+    pairs = lambda **k: {(min(r.id, r.other), max(r.id, r.other)) for r in V.similar_pairs(df, "vec_id", "vector", 0.85, 10, recall=0.999, **k).collect()}
+    assert pairs(block_rows=20) == pairs()
+
+
 @pytest.mark.parametrize("rows", [2, 1000, 10**6, 10**9])
 def test_index_shape_reaches_the_recall(rows):
     width, m = V.index_shape(rows, 0.85, 0.99)
