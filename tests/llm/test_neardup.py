@@ -37,7 +37,7 @@ def test_pairs_equal_brute_force(spark, t, size, block):
     rows = corpus(int(t * 10) + size)
     df = spark.createDataFrame(rows, "chunk_row bigint, content string").selectExpr("*", "1 AS id", "'x' AS t", "2 AS n")
     pairs, members = neardup.near_pairs(df, "chunk_row", "content", t, size, block_rows=block)
-    got = {tuple(r) for r in neardup.record_pairs(pairs, members).collect()}
+    got = {tuple(r) for r in neardup.all_record_pairs(pairs, members).collect()}
     assert got == brute(rows, t, size)
 
 
@@ -47,15 +47,6 @@ def test_empty_table(spark):
     assert pairs.collect() == [] and members.collect() == []
 
 
-def test_large_class_of_copies_is_a_star(spark):
-    text = "alpha beta gamma delta epsilon zeta"
-    rows = [(i, text) for i in range(100)] + [(200, text + " eta")]
-    df = spark.createDataFrame(rows, "chunk_row bigint, content string")
-    pairs, members = neardup.near_pairs(df, "chunk_row", "content", 0.5, 3)
-    got = {tuple(r) for r in neardup.record_pairs(pairs, members).collect()}
-    assert got == {(0, i) for i in range(1, 100)} | {(0, 200)}
-
-
 def test_large_class_gives_every_pair(spark, tmp_path):
     from weftgraph.llm import queries
 
@@ -84,3 +75,27 @@ def test_traversal_loses_no_pair():
             k = len(np.intersect1d(sets[a], sets[b]))
             if k >= 0.6 * (len(sets[a]) + len(sets[b]) - k):
                 assert (a, b) in got
+
+
+def test_sketch_and_filter_sizes_are_bounded():
+    assert neardup.sketch_bits(0) == neardup.LEAST_SKETCH and neardup.sketch_bits(10**12) == neardup.MOST_SKETCH
+    assert neardup.filter_bits(0) == neardup.LEAST_FILTER and neardup.filter_bits(10**12) == neardup.MOST_FILTER
+
+
+def test_filter_lets_every_candidate_pass():
+    import numpy as np
+    import pyarrow as pa
+
+    ids = np.arange(0, 40_000, 7)
+    bits = neardup.filter_bits(len(ids))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids + 1)], names=["a", "b"])
+    parts = {}
+    for b in neardup._or_bits(neardup._filter_bits(bits)(iter([batch]))):
+        parts |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    class Shared:
+        value = parts
+
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(40_002)), pa.array(["a b c d"] * 40_002)], names=["id", "t"])
+    got = {i for b in neardup._sets(3, Shared, bits)(iter([rows])) for i in b.column(0).to_pylist()}
+    assert set(ids.tolist()) | set((ids + 1).tolist()) <= got and len(got) < 20_000

@@ -9,7 +9,8 @@ nodes hold the OR of their records' bitmaps and the range of their sizes; the
 dual traversal of two trees drops a pair of nodes when the largest overlap that
 any two of their records could have is too small for any two of their sizes.
 
-Plan.  (1) A frequency sketch of fixed size counts the shingles of all records.
+Plan.  (1) A frequency sketch, sized by the number of records up to a bound,
+counts the shingles of all records; its segments are summed in as many tasks.
 (2) Shingles are ordered by that count; two similar records share one of the
 first ``n - ceil(t n) + 1`` shingles of each, so a record goes, once per
 partition, to the partitions of those shingles (shingles that the sketch proves
@@ -41,17 +42,19 @@ from weftgraph.plans import Scratch, lookup
 #: Fixed value: the definition of a word.
 WORD = re.compile("[一-鿿]|[a-z0-9À-ɏ]+")
 HASH_BITS = 44
-#: Counters of the frequency sketch: a fixed 2^22, whatever the corpus.
-SKETCH_BITS = 22
-SEGMENTS = 32
+#: log2 of the counters of the frequency sketch: some 16 a record, between these bounds (a broadcast of 4 to 64 MB).
+LEAST_SKETCH, MOST_SKETCH = 22, 26
+#: log2 of the counters, and of the filter's bytes, that one task sums.
+SEGMENT_BITS = 17
+#: Shingles a partition of the join is planned for, about; its task holds their records.
+PARTITION_SHINGLES = 2_000_000
+#: Set hashes that a task remembers to leave out further copies; beyond it starts afresh.
+KNOWN_SETS = 1_000_000
 FANOUT = 8
 #: Records on one shingle above which it is spread over blocks of that many.
 BLOCK_ROWS = 50_000
-#: Bits of the filter that keeps unmatched texts from being read again.
-FILTER_BITS = 25
-#: Short form: up to this many pairs, two classes of copies are paired row by row;
-#: beyond it each copy is paired with the other class's representative.
-EXPAND_PAIRS = 4096
+#: log2 of the bits of the filter that keeps unmatched texts from being read again: some 16 a candidate, between these.
+LEAST_FILTER, MOST_FILTER = 23, 30
 #: Rows of a class in a block, about: two blocks are paired row by row at once.
 BLOCK_COPIES = 64
 _STEP = 1 << 21  # pairs handled at once in a traversal
@@ -139,28 +142,32 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
 # --- pass 1: frequency sketch and set hashes -------------------------------------------------
 
 
-def _survey(size: int):
+def sketch_bits(records: int) -> int:
+    return max(LEAST_SKETCH, min(MOST_SKETCH, (16 * max(1, records)).bit_length()))
+
+
+def _survey(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         names = ["id", "n", "sig", "seg", "counts"]
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for ids, texts in _slices(batch):
                 h, _, n, start = _parts(shingles(texts, size), len(texts))
-                counts += np.bincount((h >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                at, many = np.unique(h >> np.uint64(HASH_BITS - bits), return_counts=True)
+                counts[at.astype(np.int64)] += many.astype(np.uint32)
                 sig = _set_hash(h, n, start)
                 rows = pa.array(np.flatnonzero(n))
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(rows), pa.array(n, pa.int32()).take(rows), pa.array(sig, pa.int64()).take(rows), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
                 )
-        if counts.any():
-            parts = np.split(counts, SEGMENTS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SEGMENTS, pa.int64()), pa.nulls(SEGMENTS, pa.int32()), pa.nulls(SEGMENTS, pa.int64()), pa.array(range(SEGMENTS), pa.int32()), pa.array([_packed(p) for p in parts], pa.binary())],
-                names=names,
-            )
+        for seg, part in enumerate(np.split(counts, max(1, len(counts) >> SEGMENT_BITS))):
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([seg], pa.int32()), pa.array([_packed(part)], pa.binary())], names=names
+                )
 
     return run
 
@@ -172,7 +179,7 @@ def _packed(counts) -> bytes:
 
 
 def _add_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counters of each segment; counts become a byte on a log scale."""
+    """Sum the counters of each segment; counts become a byte on a log scale, and the segment's sum is kept."""
     import numpy as np
     import zstandard
 
@@ -182,7 +189,9 @@ def _add_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint32).astype(np.int64)
             sums[seg] = sums[seg] + x if seg in sums else x
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary())], names=["seg", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["seg", "counts", "total"]
+        )
 
 
 def _level(counts):
@@ -219,7 +228,9 @@ def bitmaps(h, doc, n):
     return np.packbits(flags, bitorder="little"), start // 8
 
 
-def _route(size: int, t: float, levels, keys, block_rows: int):
+def _route(size: int, t: float, levels, bits: int, mean: float, keys, block_rows: int):
+    """``mean`` is the count that a counter has by chance: it does not make a shingle hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -230,14 +241,16 @@ def _route(size: int, t: float, levels, keys, block_rows: int):
             for ids, texts in _slices(batch):
                 h, doc, n, start = _parts(shingles(texts, size), len(texts))
                 sig = _set_hash(h, n, start)
-                first = np.zeros(len(texts), dtype=bool)  # of its class in this task
+                first = np.zeros(len(texts), dtype=bool)  # of its class in this task, as far as it remembers
+                if len(known) > KNOWN_SETS:
+                    known.clear()
                 for i in np.flatnonzero(n).tolist():
                     s = int(sig[i])
                     if s not in known:
                         known.add(s)
                         first[i] = True
                 # Order each record's shingles by level, then hash: one sort of packed keys.
-                level = level_of[(h >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64)]
+                level = level_of[(h >> np.uint64(HASH_BITS - bits)).astype(np.int64)]
                 low = np.uint64(HASH_BITS - 8)
                 packed = (doc.astype(np.uint64) << np.uint64(HASH_BITS)) | (level.astype(np.uint64) << low) | (h & ((np.uint64(1) << low) - np.uint64(1)))
                 packed.sort()
@@ -247,7 +260,7 @@ def _route(size: int, t: float, levels, keys, block_rows: int):
                 d, lev = doc[use], lev[use]
                 tok = packed[use] & np.uint64((1 << HASH_BITS) - 1)
                 tok = ((tok ^ (tok >> np.uint64(17))) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-                blocks = np.ceil(_most(lev) / block_rows).astype(np.int64)
+                blocks = np.maximum(1, np.ceil((_most(lev) - mean) / block_rows)).astype(np.int64)
                 if (hot := blocks > 1).any():  # spread over the cells of a triangle of blocks
                     b, hd, ht = blocks[hot], d[hot], tok[hot]
                     rep = np.repeat(np.arange(len(b)), b)
@@ -460,44 +473,62 @@ def _join(t: float):
 # --- pass 4: exact verification --------------------------------------------------------------
 
 
-def _place(x):
+def filter_bits(candidates: int) -> int:
+    return max(LEAST_FILTER, min(MOST_FILTER, (16 * max(1, candidates)).bit_length()))
+
+
+def _place(x, bits: int):
     import numpy as np
 
     with np.errstate(over="ignore"):
-        return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _filter_bits(bits: int):
+    """The filter of a task's candidates, by segments of 2^SEGMENT_BITS bytes."""
 
-    flags = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for b in batches:
-        for c in b.columns:
-            flags[_place(c.to_numpy(zero_copy_only=False))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([_packed(np.packbits(flags))], pa.binary())], names=["bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        for b in batches:
+            for c in b.columns:
+                at = _place(c.to_numpy(zero_copy_only=False), bits)
+                np.bitwise_or.at(flags, at >> 3, np.left_shift(1, 7 - (at & 7)).astype(np.uint8))
+        for seg, part in enumerate(np.split(flags, max(1, len(flags) >> SEGMENT_BITS))):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["seg", "bits"])
+
+    return run
 
 
 def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
     import zstandard
 
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    out: dict[int, np.ndarray] = {}
     for b in batches:
-        for data in b.column(0).to_pylist():
-            out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([_packed(out)], pa.binary())], names=["bits"])
+        for seg, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+            out[seg] = out[seg] | x if seg in out else x
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([_packed(x) for x in out.values()], pa.binary())], names=["seg", "bits"])
 
 
-def _sets(size: int, wanted):
+def _sets(size: int, wanted, bits: int):
     """Shingle sets of the records that are in a candidate pair, 6 bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import zstandard
 
-        flags = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(wanted.value), dtype=np.uint8)).astype(bool)
+        flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        for seg, data in wanted.value.items():
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+            flags[seg * len(part) : (seg + 1) * len(part)] = part
         for batch in batches:
-            hit = flags[_place(batch.column(0).to_numpy(zero_copy_only=False))]
+            at = _place(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            hit = (flags[at >> 3] >> (7 - (at & 7))) & 1 == 1
             if not hit.any():
                 continue
             for ids, texts in _slices(batch.filter(pa.array(hit))):
@@ -562,19 +593,24 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, size:
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     src = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    survey = scratch.save(src.mapInArrow(_survey(size), "id bigint, n int, sig bigint, seg int, counts binary"))
-    segments = survey.where("seg IS NOT NULL").select("seg", "counts").repartition(SEGMENTS // 4, "seg").mapInArrow(_add_segments, "seg int, counts binary")
-    levels = bytearray(1 << SKETCH_BITS)  # fixed size
-    width = len(levels) // SEGMENTS
-    for r in segments.collect():
+    rows = src.count()
+    bits = sketch_bits(rows)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    survey = scratch.save(src.mapInArrow(_survey(size, bits), "id bigint, n int, sig bigint, seg int, counts binary"))
+    width = 1 << min(bits, SEGMENT_BITS)
+    summed = survey.where("seg IS NOT NULL").select("seg", "counts").repartition(min(tasks, (1 << bits) // width), "seg").mapInArrow(_add_segments, "seg int, counts binary, total bigint")
+    levels, total = bytearray(1 << bits), 0  # bounded by MOST_SKETCH
+    for r in summed.collect():
         levels[r["seg"] * width : (r["seg"] + 1) * width] = r["counts"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total += r["total"]
+    parts = max(tasks, -(-total // PARTITION_SHINGLES))
     shared = spark.sparkContext.broadcast(bytes(levels))
-    routed = src.mapInArrow(_route(size, threshold, shared, partition_keys(spark, parts), block_rows), "p int, id bigint, n int, sig bigint, bits binary, toks binary")
+    routed = src.mapInArrow(_route(size, threshold, shared, bits, total / (1 << bits), partition_keys(spark, parts), block_rows), "p int, id bigint, n int, sig bigint, bits binary, toks binary")
     candidates = scratch.save(routed.repartition(parts, "p").mapInArrow(_join(threshold), "a bigint, b bigint").distinct())
-    bits = candidates.mapInArrow(_filter_bits, "bits binary").repartition(1).mapInArrow(_or_bits, "bits binary").collect()
-    wanted = spark.sparkContext.broadcast(bytes(bits[0]["bits"]))
-    sets = src.mapInArrow(_sets(size, wanted), "id bigint, s binary")
+    fbits = filter_bits(2 * candidates.count())
+    flags = candidates.mapInArrow(_filter_bits(fbits), "seg int, bits binary").repartition(min(tasks, max(1, 1 << (fbits - 3 - SEGMENT_BITS))), "seg").mapInArrow(_or_bits, "seg int, bits binary")
+    wanted = spark.sparkContext.broadcast({r["seg"]: bytes(r["bits"]) for r in flags.collect()})  # bounded by MOST_FILTER
+    sets = src.mapInArrow(_sets(size, wanted, fbits), "id bigint, s binary")
     left = candidates.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
     close = scratch.save(both.mapInArrow(_verify(threshold), "a bigint, b bigint, jaccard double"))
@@ -610,25 +646,3 @@ def all_record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     rows = lambda n, c, k: F.when(F.col(n).isNull(), F.array(k)).otherwise(F.col(c))
     out = sides.select(once.alias("once"), F.explode(rows("na", "la", "a")).alias("x"), rows("nb", "lb", "b").alias("lb")).select("once", "x", F.explode("lb").alias("y"))
     return out.where("NOT once OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``a, b`` of records in short form: classes of more than sqrt(``EXPAND_PAIRS``) rows as stars.
-
-    Each row of such a class is paired with the representative only, and other
-    classes with the representative: the same groups, not the same pairs.
-    """
-    of = members.select("rep", "id", "copies")
-    many = F.col("copies") > int(EXPAND_PAIRS**0.5)
-    star = of.where(many & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    few = of.where(~many & (F.col("copies") > 1))
-    within = few.select("rep", F.col("id").alias("x")).join(few.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    alone = of.where("copies > 1")
-    shown = alone.where(~many).select("rep", "id")  # copies listed row by row
-    listed = shown.groupBy("rep").agg(F.collect_list("id").alias("ids"))  # at most sqrt(EXPAND_PAIRS) ids
-    a, b = listed.toDF("a", "la"), listed.toDF("b", "lb")
-    across = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    across = across.select(F.explode(F.coalesce("la", F.array("a"))).alias("x"), F.coalesce("lb", F.array("b")).alias("lb")).select("x", F.explode("lb").alias("y"))
-    # Copies of a large class on either side: its star and the pair above give the link.
-    out = across.union(within).union(star)
-    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
