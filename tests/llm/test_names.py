@@ -92,11 +92,46 @@ def _edits(a, b):
     return row[-1]
 
 
+def _distance(a, b):
+    """Edits; a swap of neighbours is one."""
+    d = _edits(a, b)
+    return 1 if d == 2 and N.edit1(a, b) else d
+
+
+def people(spark, given, surnames, copies=1):
+    aliases = spark.createDataFrame(ALIASES, "alias_id bigint, full_form string, short_form string, kind string")
+    forms = ["{g} {s}", "{s}, {g}", "Dr. {g} {s}", "{g} {s}, CFO", "{g} H. {s}"][:copies]
+    texts = [f.format(g=given, s=x) for x in surnames for f in forms]
+    rows = [(i, t, "person") for i, t in enumerate(texts)] + [(1000 + i, x, "organization") for i, x in enumerate(fillers())]
+    members, _ = N.same_entities(spark.createDataFrame(rows, "vec_id bigint, entity_name string, entity_type string"), aliases)
+    return texts, {tuple(r) for r in N.found_pairs(members).collect()}
+
+
+def test_short_surnames_are_different_people(spark):
+    assert people(spark, "William", ["Hall", "Hill", "Hull", "Ball", "Bell", "Belt", "Lee", "Li", "Lu"])[1] == set()
+
+
+def test_attested_names_are_not_chained(spark):
+    texts, got = people(spark, "William", ["Karstenlor", "Karstenler", "Karstanler"], copies=4)
+    assert {(texts[a].count("Karstenlor"), texts[b].count("Karstenlor")) for a, b in got} <= {(1, 1), (0, 0)}
+    assert all(len({x for x in ("Karstenlor", "Karstenler", "Karstanler") for t in (texts[a], texts[b]) if x in t}) == 1 for a, b in got) and got
+
+
+def test_large_groups_give_every_pair_and_classes(spark):
+    rows = [(i, f"n{i % 90}", 7) for i in range(300)] + [(400, "a", 8), (401, "a", 8), (402, "b", 8), (500, "x", 9)]
+    members = spark.createDataFrame(rows, "row bigint, name string, grp bigint")
+    got = [tuple(r) for r in N.found_pairs(members).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[1] != b[1]}
+    assert len(got) == len(want) and set(got) == want
+    by = {r.row: (r.class_id, r.rows, r.names) for r in N.classes(members).collect()}
+    assert by[299] == (0, 300, 90) and by[402] == (400, 3, 2) and 500 not in by
+
+
 def test_segment_join_equals_brute_force(spark):
     rng = random.Random(8)
     words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(120)} | {"abcdefghij", "abdcefghij", "xabcdefghi", "abcdefg"}
     units = [(i, "s" if i % 4 else "t", w) for i, w in enumerate(sorted(words))]
     got = {(r.a, r.b): r.d for r in N.segment_join(spark.createDataFrame(units, "u bigint, scope string, core string")).collect()}
-    want = {(a[0], b[0]) for a in units for b in units if a[0] < b[0] and a[1] == b[1] and _edits(a[2], b[2]) <= N.K}
+    want = {(a[0], b[0]) for a in units for b in units if a[0] < b[0] and a[1] == b[1] and _distance(a[2], b[2]) <= N.edits(min(len(a[2]), len(b[2])))}
     assert set(got) == want
     assert all((d <= 1) == N.edit1(units[a][2], units[b][2]) for (a, b), d in got.items())

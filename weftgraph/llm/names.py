@@ -4,7 +4,12 @@ Method: pigeonhole segment join.  A name is read as a *kind* (given name, line
 of business, or fund type and number) and a *core* (surname or brand).  Cores of
 one kind are joined: each is cut into ``k + 1`` segments that go into an
 inverted index, position-shifted substrings of the others look them up, and a
-banded edit distance verifies what they meet.  The links are closed into groups.
+banded edit distance verifies what they meet.  ``k`` follows the core's length
+(``edits``): none below ``ONE_EDIT`` letters, so that Hall, Hill and Ball stay
+apart.  A met pair is linked by its own evidence (``_linked``): its distance and
+length, the first letters, and whether one spelling is much rarer than the other;
+two spellings that are both well attested are two names.  The links are closed
+into groups.
 
 The lines of business, fund types, given names and quoted nicknames are counted
 over all names; a word enters a list by its share of the names, so the lists
@@ -31,10 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import components
-from weftgraph.plans import Scratch
-
-K = 2  # edits
-LONG_CORE = 8  # letters from which two edits link
+from weftgraph.plans import Scratch, lookup
+
+K = 2  # edits at most
+#: Letters of the shorter core from which one and two edits link.
+ONE_EDIT, TWO_EDITS = 6, 8
+#: Two cores that each stand in so many spellings, neither in ``RARER`` times as many as the other, are two names.
+ATTESTED, RARER = 3, 8
+#: Rows of a group in a block of ``found_pairs``, about.
+BLOCK_ROWS = 64
 #: A word, phrase or nickname is common when at least this share of the names has it.
 COMMON_SHARE = 1 / 4000
 COMMON_LEAST = 3
@@ -496,6 +506,11 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
+def edits(length: int) -> int:
+    """Edits that cores of a length (the shorter of two) may be apart."""
+    return 0 if length < ONE_EDIT else 1 if length < TWO_EDITS else K
+
+
 def _segment_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index and look-up keys of every unit: hash of (kind, length, segment number, text)."""
     import xxhash
@@ -505,22 +520,25 @@ def _segment_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for u, scope, core in zip(*(batch.column(c).to_pylist() for c in range(3))):
             h = xxhash.xxh3_64_intdigest(scope)
             n = len(core)
-            for i, (at, size) in enumerate(segments(n, K + 1)):
-                unit.append(u)
-                key.append(xxhash.xxh3_64_intdigest(f"{n} {i} {core[at : at + size]}", h) - (1 << 63))
-                index.append(True)
-            for length in range(max(1, n - K), n + 1):
+            if edits(n):
+                for i, (at, size) in enumerate(segments(n, K + 1)):
+                    unit.append(u)
+                    key.append(xxhash.xxh3_64_intdigest(f"{n} {i} {core[at : at + size]}", h) - (1 << 63))
+                    index.append(True)
+            for length in range(max(ONE_EDIT, n - K), n + 1):
                 seen = set()
-                for i, (at, size) in enumerate(segments(length, K + 1)):
+                k, gap = K, n - length  # a swap where one edit is allowed is met as two
+                if gap > edits(length):
+                    continue
+                for i, (at, size) in enumerate(segments(length, k + 1)):
                     # A segment moves by no more than the edits around it allow.
-                    gap = n - length
-                    lo, hi = max(0, at - i, at + gap - (K - i)), min(n - size, at + i, at + gap + (K - i))
+                    lo, hi = max(0, at - i, at + gap - (k - i)), min(n - size, at + i, at + gap + (k - i))
                     for p in range(lo, hi + 1):
-                        k = xxhash.xxh3_64_intdigest(f"{length} {i} {core[p : p + size]}", h) - (1 << 63)
-                        if k not in seen:
-                            seen.add(k)
+                        x = xxhash.xxh3_64_intdigest(f"{length} {i} {core[p : p + size]}", h) - (1 << 63)
+                        if x not in seen:
+                            seen.add(x)
                             unit.append(u)
-                            key.append(k)
+                            key.append(x)
                             index.append(False)
         yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(key, pa.int64()), pa.array(index, pa.bool_())], names=["u", "key", "index"])
 
@@ -529,18 +547,42 @@ def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distance with a swap of neighbours as one edit."""
     for batch in batches:
         d = [1 if x == 2 and edit1(a, b) else x for a, b, x in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb", "d")))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.int32())], names=["a", "b", "d"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("ca"), batch.column("cb"), pa.array(d, pa.int32())], names=["a", "b", "ca", "cb", "d"])
+
+
+def _allowed(least):
+    """``edits`` as a column of the shorter length."""
+    return F.when(least < ONE_EDIT, 0).when(least < TWO_EDITS, 1).otherwise(K)
 
 
-def segment_join(units: DataFrame) -> DataFrame:
-    """``a, b, d`` for units ``u, scope, core`` of one scope whose cores are at most ``K`` edits apart."""
+def segment_join(units: DataFrame, rows: int = 0, scratch: Scratch | None = None) -> DataFrame:
+    """``a, b, d, ca, cb`` for units ``u, scope, core`` of one scope whose cores are at most ``edits`` of the shorter apart.
+
+    A swap of neighbours is one edit.  ``rows`` is the
+    number of units, or about: with many, keys that hold a large share of the
+    look-ups are salted.
+    """
     keys = units.select("u", "scope", "core").mapInArrow(_segment_keys, "u bigint, key bigint, index boolean")
-    met = keys.where("index").select("key", F.col("u").alias("x")).join(keys.where("NOT index").select("key", F.col("u").alias("y")), "key").where("x <> y")
+    if scratch:
+        keys = scratch.save(keys)
+    met = lookup(keys.where("NOT index").select("key", F.col("u").alias("y")), keys.where("index").select("key", F.col("u").alias("x")), "key", 12 * rows).where("x <> y")
     met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     core = units.select("u", "core")
     near = met.join(core.toDF("a", "ca"), "a").join(core.toDF("b", "cb"), "b")
     near = near.withColumn("d", F.levenshtein("ca", "cb", K)).where("d >= 0").select("a", "b", "ca", "cb", "d")
-    return near.mapInArrow(_swaps, "a bigint, b bigint, d int")
+    return near.mapInArrow(_swaps, "a bigint, b bigint, ca string, cb string, d int").where(F.col("d") <= _allowed(F.least(F.length("ca"), F.length("cb"))))
+
+
+def _linked(na: str, nb: str):
+    """Whether a met pair is linked; ``na`` and ``nb`` are the numbers of spellings of its cores.
+
+    A wrong first letter is believed only of a long core and one edit.  Only the
+    pair itself decides.
+    """
+    first = F.substring("ca", 1, 1) == F.substring("cb", 1, 1)
+    long = F.least(F.length("ca"), F.length("cb")) >= TWO_EDITS
+    few, many = (f(F.expr(na), F.expr(nb)) for f in (F.least, F.greatest))
+    return (first | ((F.col("d") <= 1) & long)) & ((few < ATTESTED) | (many >= RARER * few))
 
 
 def link_names(names: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFrame:
@@ -558,11 +600,10 @@ def link_names(names: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFr
     unit = scratch.save(read.groupBy("kind", "core").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("names"), F.max("weak").alias("weak"), F.max("options").alias("options"), F.max("cut").alias("cut")))
     own = read.join(unit.select("kind", "core", "u"), ["kind", "core"]).select(F.col("u").alias("a"), F.col("id").alias("b")).where("a <> b")
     strong = unit.where("NOT weak")
-    pairs = scratch.save(segment_join(strong.select("u", F.col("kind").alias("scope"), "core")))
-    # One edit links; two edits link long cores.  Only the pair decides, so that no added row takes a link away.
-    size = strong.select("u", F.length("core").alias("l"))
-    close = pairs.where("d <= 1").select("a", "b")
-    two = pairs.where("d = 2").join(size.toDF("a", "la"), "a").join(size.toDF("b", "lb"), "b").where(F.least("la", "lb") >= LONG_CORE).select("a", "b")
+    pairs = segment_join(strong.select("u", F.col("kind").alias("scope"), "core"), n, scratch)
+    held = unit.select("u", "names")
+    judged = pairs.join(held.toDF("a", "na"), "a").join(held.toDF("b", "nb"), "b")
+    close = scratch.save(judged.where(_linked("na", "nb")).select("a", "b"))
     # Cores cut short by a full stop: exact prefix look-up.
     heads = strong.select("kind", "core", "u").where(F.length("core") >= 6)
     prefix = heads.select("kind", "u", F.explode(F.sequence(F.lit(5), F.length("core") - 1)).alias("l"), "core").select("kind", "u", F.expr("substring(core, 1, l)").alias("head"))
@@ -573,7 +614,7 @@ def link_names(names: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFr
     full = strong.where("kind LIKE 'person %'").select("u", "core", "options")
     letter = lambda df: df.select("u", "core", "options", F.explode(F.array_distinct(F.transform(F.split("options", " "), lambda x: F.substring(x, 1, 1)))).alias("scope"))
     both = letter(weak).withColumn("w", F.lit(True)).union(letter(full).withColumn("w", F.lit(False)))
-    met = segment_join(both.select("u", "scope", "core").distinct()).where("d <= 1")
+    met = segment_join(both.select("u", "scope", "core").distinct(), n, scratch).where("d <= 1").where(_linked("1", "1")).select("a", "b", "d")
     same = both.select("scope", "core", "u", "options", "w")
     equal = same.where("w").select("scope", "core", F.col("u").alias("x")).join(same.select("scope", "core", F.col("u").alias("y")), ["scope", "core"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).alias("d"))
     met = scratch.save(met.union(equal.distinct()))
@@ -585,7 +626,7 @@ def link_names(names: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFr
     chosen = fits.groupBy("w").agg(F.min(F.struct("d", "s")).alias("best"), F.min("so").alias("least"), F.max("so").alias("most"))
     resolved = chosen.where("least = most").select(F.col("w").alias("a"), F.col("best.s").alias("b"))
     alone = facts.where("wa AND wb AND oa = ob").join(chosen.select(F.col("w").alias("a")), "a", "left_anti").join(chosen.select(F.col("w").alias("b")), "b", "left_anti").select("a", "b")
-    return own.union(close).union(two).union(truncated).union(resolved).union(alone)
+    return own.union(close).union(truncated).union(resolved).union(alone)
 
 
 def same_entities(df: DataFrame, aliases: DataFrame, key: str = "vec_id", name: str = "entity_name", kind: str = "entity_type") -> tuple[DataFrame, DataFrame]:
@@ -601,12 +642,29 @@ def same_entities(df: DataFrame, aliases: DataFrame, key: str = "vec_id", name:
     grouped = names.select("id", "name").join(groups, "id")
     # A row of a type that never counts is left out though another row of its name counts.
     counts = F.coalesce(F.col("typed"), F.lit("unknown")).isin("person", "organization", "unknown", "")
-    members = rows.where(counts).select("row", "name").join(grouped.select("name", "grp"), "name")
+    members = lookup(rows.where(counts).select("row", "name"), grouped.select("name", "grp"), "name", rows.count())
     return scratch.save(members), groups
 
 
 def found_pairs(members: DataFrame) -> DataFrame:
-    """``a, b``: rows of one group whose names differ as stored."""
-    x = members.select("grp", F.col("row").alias("a"), F.col("name").alias("na"))
-    y = members.select("grp", F.col("row").alias("b"), F.col("name").alias("nb"))
-    return x.join(y, "grp").where("a < b AND na <> nb").select("a", "b")
+    """``a, b``: rows of one group whose names differ as stored.
+
+    Groups are cut in blocks of about ``BLOCK_ROWS`` rows and a job joins two
+    blocks, so that a group with a third of all rows spreads over all tasks.
+    """
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = sizes.select("grp", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    put = lookup(members, blocks, "grp", members.count()).select("grp", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), F.struct("row", "name").alias("r"))
+    listed = put.groupBy("grp", "block").agg(F.collect_list("r").alias("rs"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    jobs = blocks.select("grp", "blocks", F.explode(upto("blocks")).alias("i")).repartition("grp", "i").select("grp", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    sides = jobs.join(listed.toDF("grp", "i", "la"), ["grp", "i"]).join(listed.toDF("grp", "j", "lb"), ["grp", "j"])
+    out = sides.select((F.col("i") == F.col("j")).alias("once"), F.explode("la").alias("x"), "lb").select("once", "x", F.explode("lb").alias("y"))
+    out = out.where("x.name <> y.name AND (NOT once OR x.row < y.row)")
+    return out.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"))
+
+
+def classes(members: DataFrame) -> DataFrame:
+    """Short form: ``row, class_id, rows, names`` of every member, without pairs; ``class_id`` is the group's smallest row."""
+    of = members.groupBy("grp").agg(F.min("row").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.count_distinct("name").alias("names")).where("names > 1")
+    return lookup(members.select("row", "grp"), of, "grp", members.count()).select("row", "class_id", "rows", "names")

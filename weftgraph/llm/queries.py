@@ -32,6 +32,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.found_pairs(members).toDF("vec_id_a", "vec_id_b")
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a spelling's row with its class, the class's rows and distinct names."""
+    members, _ = names.same_entities(table(spark, sf, "vdb_entities"), table(spark, sf, "name_aliases"))
+    return names.classes(members).withColumnRenamed("row", "vec_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs, members = neardup.near_pairs(table(spark, sf, "text_chunks"), "chunk_row", "content", threshold=0.5, size=3)
     return neardup.all_record_pairs(pairs, members).toDF("chunk_row_a", "chunk_row_b")
