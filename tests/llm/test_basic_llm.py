@@ -153,3 +153,19 @@ def test_pack_rows(spark):
         load[r.container] = load.get(r.container, 0) + r["size"]
     assert max(load.values()) <= 2048 and len(load) == 5
     assert packing.pack(df.limit(0)).collect() == []
+
+
+def test_fill(spark):
+    packed = spark.createDataFrame([(1, 2048, 0), (2, 1000, 1), (3, 500, 1)], "doc_id bigint, size int, container bigint")
+    r = packing.fill(packed).first()
+    assert (r.containers, r.tokens, r.least, r.fullest, r.emptiest) == (2, 3548, 2, 2048, 1500) and abs(r.unused - (1 - 3548 / 4096)) < 1e-6
+    none = packing.fill(packed.limit(0)).first()
+    assert none.containers == none.tokens == 0 and none.unused is None
+
+
+def test_overlap_is_not_tiny():
+    import numpy as np
+
+    spans = splitting.cuts(2000, np.array([550, 599, 1100, 2000]), 600, 100)
+    assert all(a[1] - b[0] >= splitting.LEAST_OVERLAP for a, b in zip(spans, spans[1:])) and spans[-1][1] == 2000
+    assert splitting.cuts(1000, np.array([1000]), 600, 0) == [(0, 600), (600, 1000)]

@@ -37,12 +37,12 @@ def _collapse(best: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     of = best.select(F.col("u").alias("p"), F.col("p").alias("pp"))
     hooked = lookup(best, of, "p", n)
     mutual_root = (F.col("pp") == F.col("u")) & (F.col("u") < F.col("p"))
-    tree = scratch.save(hooked.select("u", F.when(mutual_root, F.col("u")).otherwise(F.col("p")).alias("p")))
+    tree = scratch.save(hooked.select("u", F.when(mutual_root, F.col("u")).otherwise(F.col("p")).alias("p"), F.lit(True).alias("moved")))
     while True:  # pointer doubling: the depth halves each time
         up = tree.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        doubled = scratch.save(lookup(tree, up, "p", n).select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+        doubled = scratch.save(lookup(tree.select("u", "p"), up, "p", n).select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
         scratch.drop(tree)
-        tree = doubled.select("u", "p")
+        tree = doubled
         if doubled.where("moved").limit(1).count() == 0:
             return doubled.select("u", F.col("p").alias("root"))
 

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from weftgraph.plans import Scratch
 
 CAPACITY = 2048
-#: Ranks within one length are counted in this many buckets of the key, so that
-#: one length may hold a third of all items.
-BUCKETS = 1024
+#: Ranks within one length are counted in buckets of the key, at least this many and one for so
+#: many pieces, so that one length may hold a third of all items.
+BUCKETS, BUCKET_PIECES = 1024, 500_000
+#: Rows of a plan that are broadcast (some 3 MB); a larger plan is joined by size instead.
+BROADCAST_PLAN = 100_000
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -33,7 +35,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     items of ``size`` whose rank is in [first_rank, last_rank] fill containers
     from ``first_container`` on, ``items_each`` to a container.  Open containers
     are kept as runs of equal free space, so the work follows the number of
-    distinct lengths and never the number of items.
+    distinct lengths and never the number of items; a plan has some rows a length.
     """
     free: dict[int, list[tuple[int, int]]] = {}  # free space -> runs (first container, how many)
     spaces: list[int] = []
@@ -88,19 +90,31 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     """``key, piece, size, container`` for every item of positive size."""
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
-    salted = pieces(items, key, size, capacity).withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(BUCKETS)).cast("int"))
-    all_pieces = scratch.save(salted)
-    by_bucket = scratch.save(all_pieces.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("many")))
-    # At most ``capacity`` rows, whatever the corpus.
+    parts = pieces(items, key, size, capacity)
+    all_pieces = scratch.save(parts)
+    buckets = max(BUCKETS, -(-all_pieces.count() // BUCKET_PIECES))
+    salted = all_pieces.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)).cast("int"))
+    by_bucket = scratch.save(salted.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("many")))
+    # One number a length: at most ``capacity``, whatever the corpus.
     histogram = {r["size"]: r["n"] for r in by_bucket.groupBy("size").agg(F.sum("many").alias("n")).collect()}
-    slots = spark.createDataFrame(plan(histogram, capacity), "size int, lo bigint, hi bigint, first bigint, each bigint")
-    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a size
+    rows = plan(histogram, capacity)
+    slots = spark.createDataFrame(rows, "size int, lo bigint, hi bigint, first bigint, each bigint")
+    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     offsets = by_bucket.select("size", "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("off"))
     within = Window.partitionBy("size", "bucket").orderBy("key", "piece")
-    ranked = all_pieces.withColumn("rn", F.row_number().over(within)).join(offsets, ["size", "bucket"])
+    # The offsets follow the number of buckets, so they are shuffled to the ranks and not broadcast.
+    ranked = salted.withColumn("rn", F.row_number().over(within)).join(offsets.hint("merge"), ["size", "bucket"])
     ranked = ranked.select("key", "piece", "size", (F.col("off") + F.col("rn") - 1).alias("rank"))
-    # The plan's rows follow the distinct lengths (at most ``capacity``), so its broadcast is bounded.
-    placed = ranked.join(F.broadcast(slots), (ranked["size"] == slots["size"]) & F.col("rank").between(F.col("lo"), F.col("hi")))
+    slots = F.broadcast(slots) if len(rows) <= BROADCAST_PLAN else slots.hint("merge")
+    placed = ranked.join(slots, (ranked["size"] == slots["size"]) & F.col("rank").between(F.col("lo"), F.col("hi")))
     return placed.select(
         F.col("key").alias(key), "piece", ranked["size"].alias("size"), (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("bigint").alias("container")
     )
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY, size: str = "size", container: str = "container") -> DataFrame:
+    """One row: ``containers, tokens, least`` possible containers, ``unused`` share, and ``fullest`` and ``emptiest`` container."""
+    each = packed.groupBy(container).agg(F.sum(F.col(size).cast("bigint")).alias("n"))
+    total = each.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.max("n").alias("fullest"), F.min("n").alias("emptiest"))
+    unused = F.when(F.col("containers") > 0, F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6))
+    return total.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least"), unused.alias("unused"), "fullest", "emptiest")

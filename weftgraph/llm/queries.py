@@ -52,7 +52,7 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = splitting.split_long(table(spark, sf, "text_chunks"), with_text=False)
+    pieces = splitting.split_long(table(spark, sf, "text_chunks"))
     return pieces.where("chunk_order_index = 1").select("chunk_row")  # a second piece: it was cut
 
 
@@ -73,6 +73,11 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(table(spark, sf, "documents"))).withColumnRenamed("size", "n_tokens")
 
 
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are: their number, the least possible number and the unused share."""
+    return packing.fill(packing.pack(bpe.count_tokens(table(spark, sf, "documents"))))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     scores = abuse.score(table(spark, sf, "documents"), table(spark, sf, "abuse_examples"))
     return scores.where(F.col("score") >= abuse.THRESHOLD).select("doc_id")

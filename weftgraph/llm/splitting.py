@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 600, 100
+#: Tokens shared at least where an overlap is asked for.
+LEAST_OVERLAP = 20
 TOKEN = re.compile("[一-鿿]|[^一-鿿 \t\r\n]+")
 _FULL_STOP = re.compile("[。！？；]")
 
@@ -61,7 +63,11 @@ def boundaries(text: str, starts, ends):
 
 
 def cuts(n: int, bounds, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Token spans [a, b) of the pieces of n tokens."""
+    """Token spans [a, b) of the pieces of n tokens.
+
+    A piece begins at the first boundary within the overlap, unless fewer than
+    ``LEAST_OVERLAP`` tokens would then be shared (or all of a smaller overlap).
+    """
     import numpy as np
 
     out: list[tuple[int, int]] = []
@@ -76,7 +82,7 @@ def cuts(n: int, bounds, limit: int, overlap: int) -> list[tuple[int, int]]:
         done = end
         back = max(end - overlap, start + 1)
         j = int(np.searchsorted(bounds, back, side="left"))
-        start = int(bounds[j]) if j < len(bounds) and bounds[j] < end else back
+        start = int(bounds[j]) if j < len(bounds) and bounds[j] <= end - min(LEAST_OVERLAP, end - back) and bounds[j] < end else back
     return out
 
 
