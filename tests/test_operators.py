@@ -196,3 +196,29 @@ def test_page_falls_back(spark):
     d = spark.createDataFrame([(f"d{i:02}", "pending", "f", None, None) for i in range(15)], "id string, status string, file_path string, created_at timestamp, updated_at timestamp")
     got = S.page(d, "pending", 2, 1, "nonsense", "sideways").collect()
     assert len(got) == 5 and {r.total_count for r in got} == {15}
+
+
+def test_scratch_tables_are_removed_and_need_a_shared_folder(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from weftgraph.plans import scratch
+
+    table = scratch.Scratch(spark, "t")
+    kept = table.save(spark.range(3).toDF("x"))
+    assert kept.count() == 3
+    root = table.root
+    assert os.path.isdir(root)
+    scratch.clear(spark)
+    assert not os.path.isdir(root)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Cluster)

@@ -16,24 +16,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: str | None = None
+_roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of
-    this machine is made and removed at exit.
+    Only where that setting is absent and all work is done on this machine (tests,
+    a laptop) a temporary folder is made and removed at exit; a cluster's executors
+    could not share it, so there the setting is required.
     """
     global _own
     named = spark.conf.get(SETTING, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return _own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that operators of this process wrote; DataFrames that read them are lost.
+
+    Results are lazy, so no operator can know when its last table is read; a long
+    session calls this between jobs.
+    """
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
 class Scratch:
     """Names and removes the intermediate tables of one operator call."""
 
@@ -47,6 +66,8 @@ class Scratch:
         """Write ``df`` and return a DataFrame that reads the written table."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
+        if self._n == 1:
+            _roots.append(self.root)
         df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths.append((out, path))
@@ -54,9 +75,6 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for frame, path in [x for x in self._paths if any(x[0] is f for f in frames)]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, path)
             self._paths = [x for x in self._paths if x[0] is not frame]

@@ -20,7 +20,7 @@ def hot_keys(left: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
-    """``left`` JOIN ``right`` on ``key``, ``right`` being unique on ``key``.
+    """``left`` JOIN ``right`` on ``key``; ``right`` is unique on ``key`` or holds few rows a key.
 
     ``rows`` is the row count of ``left``.  Hot keys of the left side are salted
     over ``SALTS`` tasks and only their few right rows are repeated.  Null keys
