@@ -14,7 +14,7 @@ def engine(spark, path):
     def answer(prompts):  # nested, so that workers get it by value
         return [p if p.startswith("echo") else r for p, r in zip(prompts, record_extractor(prompts))]
 
-    return Engine(spark, str(path), Config(generate=answer, embed=hashed_vectors, cosine_threshold=-1.0, pagerank_iterations=3, chunk_tokens=50, chunk_overlap=5))
+    return Engine(spark, str(path), Config(generate=answer, embed=hashed_vectors, buckets=2, cosine_threshold=-1.0, pagerank_iterations=3, chunk_tokens=50, chunk_overlap=5))
 
 
 def docs(spark, texts, start=0):
@@ -100,9 +100,141 @@ def test_malformed_records_are_asked_again(spark, tmp_path):
         whole = "(entity<|>Acme<|>organization<|>another)##(entity<|>Zeta<|>organization<|>Zeta buys)##(relationship<|>Acme<|>Zeta<|>trade<|>Acme sells to Zeta<|>2)<|COMPLETE|>"
         return [whole if "too few fields" in p else first for p in prompts]
 
-    e = Engine(spark, str(tmp_path), Config(generate=answer, embed=hashed_vectors))
+    e = Engine(spark, str(tmp_path), Config(generate=answer, embed=hashed_vectors, buckets=2))
     e.insert(spark.createDataFrame([(1, "acme sells to zeta", "a.txt")], "ord int, content string, file_path string"))
     assert {r.entity_name.lower(): r.description for r in e.store.read("nodes").collect()} == {"acme": "Acme sells", "zeta": "Zeta buys"}
     assert [(r.description, r.weight) for r in e.store.read("edges").collect()] == [("Acme sells to Zeta", 2.0)]
     chunk = e.store.read("text_chunks").first()["id"]
     assert {r.source_id for r in e.store.read("entity_mentions").collect()} == {chunk}
+
+
+def test_inserting_one_document_leaves_other_buckets_alone(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), Config(generate=record_extractor, embed=hashed_vectors, buckets=32))
+    e.insert(docs(spark, [f"Alice met Number{'abcdefghijklmnopqrst'[i]} today." for i in range(12)]))
+    before = e.store._manifest("text_chunks")[1]["folders"]
+    e.insert(docs(spark, ["Wholly Unrelated text."], 50))
+    after = e.store._manifest("text_chunks")[1]["folders"]
+    assert sum(before[b] != after.get(b) for b in before) <= 1
+
+
+def test_gleaning_adds_only_what_was_missed(spark, tmp_path):
+    def answer(prompts):
+        first = "(entity<|>Acme<|>organization<|>Acme sells)<|COMPLETE|>"
+        more = "(entity<|>Acme<|>organization<|>twice)##(entity<|>Zeta<|>organization<|>Zeta buys)<|COMPLETE|>"
+        return [(more if "acme" in p.lower().split("were missed")[1] else "") if "were missed" in p else first for p in prompts]
+
+    e = Engine(spark, str(tmp_path), Config(generate=answer, embed=hashed_vectors, buckets=2, glean_rounds=2))
+    e.insert(docs(spark, ["acme sells to zeta"]))
+    assert {r.entity_name: r.description for r in e.store.read("nodes").collect()} == {"Acme": "Acme sells", "Zeta": "Zeta buys"}
+
+
+def test_long_descriptions_are_summarized_and_orphans_described(spark, tmp_path):
+    def answer(prompts):
+        return [f"(entity<|>Acme<|>organization<|>fact {p})##(relationship<|>Acme<|>Ghost<|>near<|>Acme stands near Ghost {p})<|COMPLETE|>" for p in prompts]
+
+    cfg = Config(generate=answer, embed=hashed_vectors, buckets=2, summarize=lambda parts: [f"told {len(p.split('fact')) - 1}" for p in parts], describe=lambda prompts: [f"(person)<SEP>(about {p.splitlines()[0]})" for p in prompts])
+    e = Engine(spark, str(tmp_path), cfg)
+    e.insert(docs(spark, [f"text {i}" for i in range(9)]))
+    nodes = {r.entity_name: (r.entity_type, r.description) for r in e.store.read("nodes").collect()}
+    assert nodes["Acme"][1] == "told 9" and nodes["Ghost"] == ("Person", "about Ghost")
+    assert e.store.read("edges").first().description.startswith("told")
+
+
+def test_caller_tokenizer_and_chunker(spark, tmp_path):
+    letters = lambda t: [(i, i + 1) for i in range(len(t))]
+    e = Engine(spark, str(tmp_path / "a"), Config(generate=record_extractor, embed=hashed_vectors, buckets=2, tokenize=letters, chunk_tokens=10, chunk_overlap=0))
+    e.insert(docs(spark, ["abcdefghijklmnopqrstuvwxy"]))
+    assert sorted((r.tokens, r.content) for r in e.store.read("text_chunks").collect()) == [(5, "uvwxy"), (10, "abcdefghij"), (10, "klmnopqrst")]
+    e = Engine(spark, str(tmp_path / "b"), Config(generate=record_extractor, embed=hashed_vectors, buckets=2, chunker=lambda t: t.split("|")))
+    e.insert(docs(spark, ["one two|three"]))
+    assert sorted((r.tokens, r.content) for r in e.store.read("text_chunks").collect()) == [(1, "three"), (2, "one two")]
+    e = Engine(spark, str(tmp_path / "c"), Config(generate=record_extractor, embed=hashed_vectors, buckets=2, chunk_tokens=100, chunk_overlap=10))
+    e.insert(docs(spark, ["漢" * 450]))
+    assert max(r.tokens for r in e.store.read("text_chunks").collect()) == 100
+
+
+def test_keywords_history_and_recognition(spark, tmp_path):
+    seen = []
+
+    def answer(prompts):
+        return [p if "Question:" in p else r for p, r in zip(prompts, record_extractor(prompts))]
+
+    cfg = Config(
+        generate=answer, embed=hashed_vectors, buckets=2, cosine_threshold=-1.0, pagerank_iterations=3, keywords=lambda qs: seen.append(qs) or ['x {"high_level_keywords": ["trade"], "low_level_keywords": ["Robert"]} y'],
+        recognize=lambda prompts: ['{"irrelevant_relation_ids": [' + ", ".join(l.split(":")[0] for l in p.splitlines()[1:] if "Carla" in l) + "]}" for p in prompts],
+    )
+    e = Engine(spark, str(tmp_path), cfg)
+    e.insert(docs(spark, TEXTS))
+    p = e.keywords("Who met Robert?", QueryParam())
+    assert (p.hl_keywords, p.ll_keywords) == (("trade",), ("Robert",)) and seen
+    assert e.keywords("q", QueryParam(ll_keywords=("mine",))).ll_keywords == ("mine",)
+    _, rel, _ = e.retrieve("Who met Robert?", QueryParam(mode="local", enable_recognition=True, recognition_batch_size=1, top_ppr_nodes=0))
+    got = {(r.src, r.tgt) for r in rel.collect()}
+    assert got and not any("Carla" in x for x in got)
+    talk = (("user", "hello"), ("assistant", "good day"), ("user", "and now"), ("assistant", "well"))
+    told = e.query("Who sold it?", QueryParam(mode="naive", conversation=talk, history_turns=1)).text
+    assert "user: and now" in told and "hello" not in told
+
+
+def test_expanded_entities_follow_the_querys_in_rank(whole):
+    ent, rel, _ = whole.retrieve("Alice", QueryParam(mode="local", top_k=1, max_hop=2, top_ppr_nodes=3))
+    rows = ent.orderBy("pos").collect()
+    assert rows[0].method == "query" and {r.method for r in rows[1:]} <= {"multihop", "ppr", "multihop+ppr"} and len(rows) > 1
+    assert len({r.pos for r in rows}) == len(rows) and rel.count() >= 1
+
+
+def test_budget_of_chunks_is_what_the_rest_leaves(whole):
+    _, _, many = whole.retrieve("Robert", QueryParam(mode="mix", top_ppr_nodes=0, max_hop=0))
+    _, _, none = whole.retrieve("Robert", QueryParam(mode="mix", top_ppr_nodes=0, max_hop=0, max_total_tokens=100))
+    assert many.count() > 0 and none.count() == 0
+
+
+def test_duplicates_merge_until_stable(spark, tmp_path):
+    def answer(prompts):
+        return ["##".join(f"(entity<|>{n}<|>company<|>{d})" for n, d in (("Acme", "sells nails and tools"), ("Acmee", "sells nails and tools"), ("Zeta", "flies to the moon"))) + "##(relationship<|>Acmee<|>Zeta<|>trade<|>they trade)<|COMPLETE|>" for _ in prompts]
+
+    def same(texts):
+        return [[1.0, 0.0, 0.1] if "nails" in t else [0.0, 1.0, 0.0] for t in texts]
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def decide(prompts):
+        asked.add(len(prompts))
+        return ["Yes, they are"] * len(prompts)
+
+    e = Engine(spark, str(tmp_path), Config(generate=answer, embed=same, buckets=2, decide=decide, merge_threshold=0.8))
+    e.insert(docs(spark, ["any"]))
+    assert e.merge_duplicates() == 1 and asked.value == 1
+    assert {r.entity_name for r in e.store.read("nodes").collect()} == {"Acme", "Zeta"}
+    assert {(r.src, r.tgt) for r in e.store.read("edges").collect()} == {("Acme", "Zeta")}
+    assert {r.entity_name for r in e.store.read("vdb_entities").collect()} == {"Acme", "Zeta"}
+    assert [r.decision for r in e.store.read("merge_log").collect()] == ["merged"]
+
+
+def test_edits_and_custom_graph(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    e.insert(docs(spark, TEXTS))
+    e.create_entity("Dora", "Person", "Dora paints")
+    e.create_relation("Dora", "Alice", "friends", "friendship", 2.0)
+    with pytest.raises(ValueError):
+        e.create_relation("Alice", "Dora", "again")
+    with pytest.raises(KeyError):
+        e.create_relation("Alice", "Nobody", "x")
+    e.edit_entity("Dora", {"description": "Dora sings"})
+    e.edit_relation("Dora", "Alice", {"weight": 5.0})
+    assert e.entity_info(["Dora"]).first().description == "Dora sings" and e.relation_info("Dora", "Alice").first().weight == 5.0
+    assert e.store.read("vdb_entities").where("entity_name = 'Dora'").first().content == "Dora\nDora sings"
+    e.rename_entity("Dora", "Doris")
+    assert e.relation_info("Alice", "Doris").count() == 1 and e.entity_info(["Dora"]).count() == 0
+    assert e.delete_relation("Doris", "Alice") and not e.delete_relation("Doris", "Alice")
+    assert e.delete_entity("Doris") and not e.delete_entity("Doris")
+    assert e.statuses("processed").count() == 3
+    chunks = spark.createDataFrame([("Custom text", "S1", None, None)], "content string, source_id string, file_path string, chunk_order_index int")
+    ents = spark.createDataFrame([("Custom", "thing", "made", "S1")], "entity_name string, entity_type string, description string, source_id string")
+    rels = spark.createDataFrame([("Custom", "Alice", 1.0, "k", "linked", "S1")], "src_id string, tgt_id string, weight double, keywords string, description string, source_id string")
+    e.insert_custom_graph(chunks, ents, rels)
+    assert e.relation_info("Alice", "Custom").count() == 1 and e.entity_info(["Custom"]).first().has_vector
+    e.insert_custom_chunks(spark.createDataFrame([("Gregor met Custom", 0)], "content string, chunk_order_index int"), "doc-c")
+    assert e.entity_info(["Gregor"]).count() == 1
+    e.export(str(tmp_path / "v"), vectors=True)
+    assert spark.read.option("header", True).csv(str(tmp_path / "v")).where("vector IS NULL").count() == 0

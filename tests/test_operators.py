@@ -222,3 +222,51 @@ def test_scratch_tables_are_removed_and_need_a_shared_folder(spark, tmp_path):
 
     with pytest.raises(ValueError):
         scratch.shared_dir(Cluster)
+
+
+def test_numbered_places_follow_the_order(spark):
+    from weftgraph.plans import numbered
+
+    df = spark.createDataFrame([(i * 37 % 101, str(i)) for i in range(101)], "x int, t string").repartition(7)
+    got = [(r.ord, r.x) for r in numbered(df, "x", start=1).orderBy("ord").collect()]
+    assert got == [(i + 1, i) for i in range(101)]
+    assert numbered(df.limit(0), "x").collect() == []
+
+
+def test_near_pairs_find_similar_vectors(spark):
+    import numpy as np
+
+    from weftgraph.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(60, 16))
+    x = np.repeat(centre, 3, axis=0) + 0.15 * rng.normal(size=(180, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16)], "n bigint, vector array<float>")
+    got = {(r.a, r.b) for r in V.near_pairs(df, "n", "vector", 0.8, 16).collect()}
+    want = {(r.a, r.b) for r in V.similar_pairs(df.where("n < 900"), "n", "vector", 0.8).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_merging_until_stable_equals_going_one_by_one(spark):
+    from weftgraph.operators import maintenance as M
+
+    pairs = {("a", "b"): 0.9, ("b", "c"): 0.95, ("c", "d"): 0.8, ("e", "f"): 0.7, ("a", "d"): 0.6}
+    nodes = spark.createDataFrame([(n, f"text {n}") for n in "abcdefg"], "entity_name string, description string")
+    edges = spark.createDataFrame([("a", "e", 1.0, "k1"), ("d", "f", 2.0, "k2"), ("b", "e", 3.0, "k1")], "src string, tgt string, weight double, keywords string")
+    sims = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a string, b string, score double")
+    find = lambda n: sims.join(n.select(n["entity_name"].alias("a")), "a").join(n.select(n["entity_name"].alias("b")), "b")
+    got, links, rounds = M.merge_until_stable(nodes, edges, find, rounds=5)
+    left, want = set("abcdefg"), {n: n for n in "abcdefg"}
+    while True:
+        free, taken = set(left), []
+        for (a, b), _ in sorted(((p, s) for p, s in pairs.items() if p[0] in left and p[1] in left), key=lambda x: (-x[1], x[0])):
+            if a in free and b in free:
+                free -= {a, b}
+                taken.append((a, b))
+        if not taken:
+            break
+        for a, b in taken:
+            left.discard(b)
+            want = {k: a if v == b else v for k, v in want.items()}
+    assert {r.entity_name for r in got.collect()} == left and rounds >= 2
+    assert {(r.src, r.tgt) for r in links.collect()} == {tuple(sorted((want[a], want[b]))) for a, b in (("a", "e"), ("d", "f"), ("b", "e")) if want[a] != want[b]}

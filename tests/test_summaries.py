@@ -5,19 +5,20 @@ import os
 
 import pytest
 
+from weftgraph.functions import text as X
 from weftgraph.operators import discovery as D
 
 DIR = "/root/testdata/sf0.001"
 
 
 def told(part, most):
-    words = part.split()
-    return hashlib.md5((" ".join(words[:most]) if len(words) > most else part).encode()).hexdigest()
+    at = X.default_spans(part)
+    return hashlib.md5((part[at[0][0] : at[most - 1][1]] if len(at) > most else part).encode()).hexdigest()
 
 
 def brute(texts, most):
     while True:
-        sizes = [len(t.split()) for t in texts]
+        sizes = [len(X.default_spans(t)) for t in texts]
         if len(texts) == 1:
             return texts[0]
         if sum(sizes) <= most or len(texts) <= 2:

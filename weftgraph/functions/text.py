@@ -7,6 +7,8 @@ White space means what a Unicode-aware strip removes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,7 +77,7 @@ def split_markers(c: Column, markers: list[str]) -> Column:
 
 
 def is_float(c: Column) -> Column:
-    return c.rlike(r"^[-+]?[0-9]*\.?[0-9]+$")
+    return c.rlike(r"\A[-+]?[0-9]*\.?[0-9]+\z")
 
 
 def summary(c: Column, most: int = 250) -> Column:
@@ -135,6 +137,16 @@ def joined_paths(existing: Column, new: Column, most: int = MAX_FILE_PATH_BYTES)
     return F.aggregate(unseen, F.array_join(start, SEP), lambda acc, x: F.when(F.octet_length(put(acc, x)) < most - 5, put(acc, x)).otherwise(acc))
 
 
+def year_and_quarter(c: Column) -> Column:
+    """Struct of ``year`` and ``quarter`` of a time; pass ``current_timestamp()`` for today's."""
+    return F.struct(F.year(c).alias("year"), F.quarter(c).alias("quarter"))
+
+
+def literal_id(place: Column, text: Column) -> Column:
+    """Id of a text that was passed as such: its place from 0 and the start of its md5."""
+    return F.concat(F.lit("text_"), place.cast("string"), F.lit("_"), F.substring(F.md5(text), 1, 16))
+
+
 def record_id(prefix: str, *parts: Column) -> Column:
     """Prefix and md5 of the parts joined without a separator."""
     return F.concat(F.lit(prefix), F.md5(F.concat(*[p.cast("string") for p in parts])))
@@ -150,10 +162,48 @@ def parse_cache_key(c: Column) -> Column:
     return F.when(F.size(p) == 3, F.struct(p[0].alias("mode"), p[1].alias("cache_type"), p[2].alias("digest")))
 
 
+# The default tokenizer: one CJK character, or a maximal run of other characters without white space.
+TOKEN = r"[\u4e00-\u9fff]|[^\s\u4e00-\u9fff]+"
+SPAN = rf"(?:{TOKEN})\s*"
+_PYTHON_TOKEN = None
+#: A caller's tokenizer: the (start, end) places of the tokens of a text.
+Tokenizer = Callable[[str], list[tuple[int, int]]]
+
+
+def default_spans(text: str) -> list[tuple[int, int]]:
+    """The default tokenizer in Python, with the JVM's white space."""
+    global _PYTHON_TOKEN
+    import re
+
+    _PYTHON_TOKEN = _PYTHON_TOKEN or re.compile(r"[\u4e00-\u9fff]|[^ \t\n\x0b\f\r\u4e00-\u9fff]+")
+    return [m.span() for m in _PYTHON_TOKEN.finditer(text)]
+
+
 def words(c: Column) -> Column:
-    """The default tokenizer: runs without white space."""
-    return F.filter(F.split(c, r"[\s]+"), lambda x: x != "")
+    """Tokens of the default tokenizer."""
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+
+
+def spans(c: Column) -> Column:
+    """Tokens with the white space behind them: joined, they are the text."""
+    return F.regexp_extract_all(c, F.lit(SPAN), F.lit(0))
+
+
+def joined(parts: Column) -> Column:
+    """The stretch of text that consecutive ``spans`` are, without white space at its end."""
+    return F.regexp_replace(F.array_join(parts, ""), r"\s+$", "")
 
 
 def n_words(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(TOKEN))
+
+
+def n_tokens(c: Column, tokenizer: Tokenizer | None = None) -> Column:
+    """Tokens of a text by the default tokenizer, or by a caller's in Arrow batches."""
+    if tokenizer is None:
+        return n_words(c)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else len(tokenizer(x))).astype("Int32")
+
+    return F.pandas_udf(run, "int")(c)

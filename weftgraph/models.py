@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 Generate = Callable[[list[str]], list[str]]
 Embed = Callable[[list[str]], list[list[float]]]
 Rerank = Callable[[str, list[str]], list[float]]
+Tokenize = Callable[[str], list[tuple[int, int]]]
+Chunk = Callable[[str], list[str]]
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class QueryParam:
     max_total_tokens: int = 120_000
     hl_keywords: tuple[str, ...] = ()
     ll_keywords: tuple[str, ...] = ()
+    #: Earlier messages, (role, text) in order, and how many pairs of them the prompt tells.
+    conversation: tuple[tuple[str, str], ...] = ()
     history_turns: int = 0
     user_prompt: str = ""
     enable_rerank: bool = True
@@ -61,9 +65,25 @@ class Config:
     pagerank_iterations: int = 50
     merge_threshold: float = 0.8
     merge_rounds: int = 3
+    #: Further rounds in which the extraction model is asked for what it missed.
+    glean_rounds: int = 0
+    entity_types: tuple[str, ...] = ("Person", "Organization", "Location", "Event", "Concept")
+    #: Buckets of the store's tables; fixed when a table is first written.
+    buckets: int = 16
     generate: Generate = field(default=lambda prompts: [""] * len(prompts))
     embed: Embed = field(default=lambda texts: hashed_vectors(texts))
     rerank: Rerank | None = None
+    #: Without these the step is left out: summaries of long descriptions, keywords of a query,
+    #: descriptions of names that no record describes, filtering of retrieved relations, and
+    #: judging whether two similar names are one.
+    summarize: Generate | None = None
+    keywords: Generate | None = None
+    describe: Generate | None = None
+    recognize: Generate | None = None
+    decide: Generate | None = None
+    #: Places of the tokens of a text, and a chunking function, instead of the default ones.
+    tokenize: Tokenize | None = None
+    chunker: Chunk | None = None
 
 
 def hashed_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +57,7 @@ def summarize(fragments: DataFrame, key: str, order: str, text: str, model: Mode
     """
     scratch = Scratch(fragments.sparkSession, "summaries")
     in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), joiner)
-    read = F.when(X.n_words(F.col("part")) > most, F.array_join(F.slice(X.words(F.col("part")), 1, most), " ")).otherwise(F.col("part"))
+    read = F.when(X.n_words(F.col("part")) > most, X.joined(F.slice(X.spans(F.col("part")), 1, most))).otherwise(F.col("part"))
     told = lambda parts: E.ask(parts.withColumn("part", read), model, "part", "told")
     done, left = [], fragments.select(key, order, text)
     while True:
@@ -75,15 +74,3 @@ def summarize(fragments: DataFrame, key: str, order: str, text: str, model: Mode
         alone = parts.where("n = 1").select(key, F.col("grp").alias(order), F.col("part").alias(text))
         many = told(parts.where("n > 1").select(key, "grp", "part")).select(key, F.col("grp").alias(order), F.col("told").alias(text))
         left = scratch.save(alone.union(many))  # the model is asked once
-
-
-def chunk_with(docs: DataFrame, chunker: Callable[[str], list[str]], key: str, text: str) -> DataFrame:
-    """``key, chunk_order_index, tokens, content`` by a caller's chunking function."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, len(c.split()), c) for k, t in zip(b["k"], b["t"]) if t for i, c in enumerate(chunker(t))]
-            yield pd.DataFrame(rows, columns=["k", "o", "n", "c"])
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, o int, n int, c string").toDF(key, "chunk_order_index", "tokens", "content")

@@ -19,6 +19,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("entity_name").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def get_nodes(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """The asked nodes, once each; misses are left out."""
+    return nodes.join(names.select("entity_name").distinct(), "entity_name", "left_semi")
+
+
 def node_degree(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Degree of the asked names; 0 for those without an edge."""
     return names.select("entity_name").distinct().join(degrees(edges), "entity_name", "left").select("entity_name", F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,19 +80,27 @@ def summary_decision(fragments: DataFrame, key: str, text: str, most: int = CONT
 def pack_fragments(fragments: DataFrame, key: str, order: str, text: str, most: int = CONTEXT_TOKENS) -> DataFrame:
     """``key, order, grp``: consecutive fragments in groups within the context, two at least in each.
 
-    A fold over the sizes of one key's fragments, which are numbers only.
+    A fold in order: a key's fragments, as sizes only, stream through one task in
+    batches, and nothing but the open group's sums is held.
     """
-    sized = fragments.select(key, order, X.n_words(F.col(text)).alias("_n"))
-    by = sized.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col("_n").alias("n")))).alias("f"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("t"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def add(s, x):
-        new = (s["t"] + x["n"] > most) & (s["c"] >= 2)
-        g = F.when(new, s["g"] + 1).otherwise(s["g"])
-        return F.struct(g.alias("g"), F.when(new, x["n"]).otherwise(s["t"] + x["n"]).alias("t"), F.when(new, F.lit(1)).otherwise(s["c"] + 1).alias("c"), F.concat(s["out"], F.array(g)).alias("out"))
-
-    groups = by.withColumn("g", F.aggregate("f", start, add, lambda s: s["out"]))
-    return groups.select(key, F.explode(F.arrays_zip("f", "g")).alias("x")).select(key, F.col(f"x.f.{order}").alias(order), F.col("x.g").alias("grp"))
+    rows = fragments.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(X.n_words(F.col(text)), F.lit(0)).cast("bigint").alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group, total, held, begun = None, 0, 0, 0, False
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or k != last:
+                    last, group, total, held, begun = k, 0, 0, 0, True
+                if total + n > most and held >= 2:
+                    group, total, held = group + 1, 0, 0
+                total, held = total + n, held + 1
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["k", "o", "grp"])
+
+    by = rows.repartition("k").sortWithinPartitions("k", "o")
+    return by.mapInArrow(run, f"k {kinds['k']}, o {kinds['o']}, grp int").toDF(key, order, "grp")
 
 
 def token_usage(calls: DataFrame, by: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as X
+from weftgraph.operators import extraction as E
 from weftgraph.operators import graph as G
 from weftgraph.plans import Scratch
 
@@ -96,17 +98,19 @@ def pagerank(edges: DataFrame, restart: DataFrame, iterations: int = 50, damping
     links = G.both_ways(edges.select("src", "tgt", F.col("weight").cast("double").alias("w")))
     out = links.groupBy("src").agg(F.sum("w").alias("total"))
     share = scratch.save(links.join(out, "src").where("total > 0").select("src", "tgt", (F.col("w") / F.col("total")).alias("w")))
-    names = share.select(F.col("src").alias("entity_name")).distinct()
-    nodes = scratch.save(names.union(restart.select("entity_name")).distinct().join(restart, "entity_name", "left").select("entity_name", F.coalesce("p", F.lit(0.0)).alias("p")))
+    names = share.select(F.col("src").alias("entity_name")).distinct().withColumn("linked", F.lit(True))
+    # A node without links is told once, not in every step.
+    every = names.join(restart, "entity_name", "full_outer")
+    nodes = scratch.save(every.select("entity_name", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("linked", F.lit(False)).alias("linked")))
     n = nodes.count()
     if n == 0:
         return nodes.select("entity_name", F.col("p").alias("rank"))
-    ranks = nodes.select("entity_name", "p", F.lit(1.0 / n).alias("rank"))
+    ranks = nodes.select("entity_name", "p", "linked", F.lit(1.0 / n).alias("rank"))
     for i in range(iterations):
         sent = ranks.join(share.withColumnRenamed("src", "entity_name"), "entity_name").groupBy("tgt").agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        lost = ranks.join(share.select(F.col("src").alias("entity_name")).distinct(), "entity_name", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        lost = ranks.where("NOT linked").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         nxt = nodes.join(sent.withColumnRenamed("tgt", "entity_name"), "entity_name", "left").crossJoin(F.broadcast(lost))  # one row
-        moved = nxt.select("entity_name", "p", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")).alias("rank"))
+        moved = nxt.select("entity_name", "p", "linked", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")).alias("rank"))
         moved = scratch.save(moved)
         if tolerance is not None:
             change = moved.join(ranks.select("entity_name", F.col("rank").alias("old")), "entity_name").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
@@ -126,11 +130,51 @@ def query_aware_pagerank(edges: DataFrame, seeds: DataFrame, entity_sims: DataFr
     return ranks.join(seeds.select("entity_name"), "entity_name", "left_anti").orderBy(F.desc("rank"), "entity_name").limit(top)
 
 
+def _sums(dim: int):
+    """Weighted sums of the vectors of each ``src``, of batches sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def out(names: list, rows) -> pa.RecordBatch:
+            ends = pa.array((np.arange(len(names) + 1) * dim).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([1.0] * len(names)), pa.ListArray.from_arrays(ends, pa.array(rows.reshape(-1)))], names=["src", "w", "x"])
+
+        last, held = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            src = batch.column(0).to_pylist()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, dim) * batch.column(1).to_numpy()[:, None]
+            at = np.flatnonzero([i == 0 or src[i] != src[i - 1] for i in range(n)])
+            sums, names = np.add.reduceat(x, at, axis=0), [src[i] for i in at]
+            if held is not None and names[0] == last:
+                sums[0] += held
+            elif held is not None:
+                yield out([last], held)
+            if len(names) > 1:
+                yield out(names[:-1], sums[:-1])
+            last, held = names[-1], sums[-1].copy()
+        if held is not None:
+            yield out([last], held)
+
+    return run
+
+
+def _spread(walk: DataFrame, x: DataFrame, dim: int) -> DataFrame:
+    """One product with the walk matrix: sums in the join's tasks first, so that a hub sends one row a task."""
+    kinds = "src string, w double, x array<double>"
+    met = walk.join(x.withColumnRenamed("src", "tgt"), "tgt").select("src", "w", "x")
+    part = met.sortWithinPartitions("src").mapInArrow(_sums(dim), kinds)
+    return part.repartition("src").sortWithinPartitions("src").mapInArrow(_sums(dim), kinds).select("src", "x")
+
+
 def fastrp(edges: DataFrame, dim: int = 256, weights: tuple = (1.0, 1.0, 0.5, 0.25), power: float = -0.1) -> DataFrame:
-    """``entity_name, d, x``: random-projection embeddings in long form, rows of length one.
+    """``entity_name, x array<double>``: random-projection embeddings, a row a node, of length one.
 
-    Signs come from a hash of node and dimension.  One product with the
-    normalized adjacency (with self loops) is a join and a map-side combined sum.
+    Signs come from a hash of node and dimension; a product with the normalized
+    adjacency (with self loops) is a join and a sum of arrays.
     """
     scratch = Scratch(edges.sparkSession, "fastrp")
     links = G.both_ways(edges.select("src", "tgt", F.col("weight").cast("double").alias("w")))
@@ -140,25 +184,26 @@ def fastrp(edges: DataFrame, dim: int = 256, weights: tuple = (1.0, 1.0, 0.5, 0.
     walk = loops.join(degree, "src").join(degree.toDF("tgt", "deg2"), "tgt")
     walk = scratch.save(walk.select("src", "tgt", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w")))
     deg = scratch.save(degree)
-    sign = F.when(F.conv(F.substring(F.md5(F.concat("src", F.lit("|"), "d")), 1, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    x = scratch.save(deg.select("src", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("d")).select("src", "d", (sign / F.lit(float(dim) ** 0.5)).alias("x")))
-    total = x.select("src", "d", (F.col("x") * weights[0]).alias("x"))
+    one = 1.0 / float(dim) ** 0.5
+    sign = lambda d: F.when(F.conv(F.substring(F.md5(F.concat("src", F.lit("|"), d.cast("string"))), 1, 2), 16, 10).cast("int") % 2 == 0, one).otherwise(-one)
+    x = scratch.save(deg.select("src", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), sign).alias("x")))
+    total = x.select("src", F.lit(weights[0]).alias("w"), "x")
     for w in weights[1:]:
-        x = scratch.save(walk.join(x.withColumnRenamed("src", "tgt"), "tgt").groupBy("src", "d").agg(F.sum(F.col("w") * F.col("x")).alias("x")))
-        total = total.unionByName(x.select("src", "d", (F.col("x") * w).alias("x")))
-    raw = total.groupBy("src", "d").agg(F.sum("x").alias("x")).join(deg, "src").select("src", "d", (F.col("x") * F.pow("deg", F.lit(power))).alias("x"))
-    norm = raw.groupBy("src").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    return raw.join(norm, "src").select(F.col("src").alias("entity_name"), "d", F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.lit(0.0)).alias("x"))
+        x = scratch.save(_spread(walk, x, dim))
+        total = total.unionByName(x.select("src", F.lit(w).alias("w"), "x"))
+    raw = total.repartition("src").sortWithinPartitions("src").mapInArrow(_sums(dim), "src string, w double, x array<double>").join(deg, "src")
+    scaled = raw.select("src", F.transform("x", lambda v: v * F.pow("deg", F.lit(power))).alias("x")).withColumn("n", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))
+    return scaled.select(F.col("src").alias("entity_name"), F.transform("x", lambda v: F.when(F.col("n") > 0, v / F.col("n")).otherwise(F.lit(0.0))).alias("x"))
 
 
 def structural_scores(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
     """Mean cosine of every other node to the seeds: one dot with the mean of the seeds."""
-    s = vectors.join(seeds.select("entity_name"), "entity_name", "left_semi")
-    many = seeds.select("entity_name").distinct().join(vectors.select("entity_name").distinct(), "entity_name", "left_semi").agg(F.count(F.lit(1)).alias("c"))
-    mean = s.groupBy("d").agg(F.sum("x").alias("m"))  # as many rows as dimensions
-    rest = vectors.join(seeds.select("entity_name"), "entity_name", "left_anti")
-    dots = rest.join(F.broadcast(mean), "d").groupBy("entity_name").agg(F.sum(F.col("x") * F.col("m")).alias("s"))
-    return dots.crossJoin(F.broadcast(many)).select("entity_name", (F.col("s") / F.col("c")).alias("score"))  # one row
+    names = seeds.select("entity_name").distinct()
+    each = vectors.join(names, "entity_name", "left_semi").select(F.posexplode("x").alias("d", "v"))
+    mean = each.groupBy("d").agg(F.avg("v").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("m"))  # one row, of all dimensions
+    rest = vectors.join(names, "entity_name", "left_anti").crossJoin(F.broadcast(mean)).where(F.size("m") > 0)
+    dot = F.aggregate(F.zip_with("x", "m", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rest.select("entity_name", dot.alias("score"))
 
 
 def merge_entities(*found: tuple[str, DataFrame]) -> DataFrame:
@@ -302,5 +347,25 @@ def cached(requests: DataFrame, cache: DataFrame, digest: str = "digest") -> tup
     return requests.join(cache, digest), requests.join(cache.select(digest), digest, "left_anti")
 
 
-def mentions_budget(rows: DataFrame, text: str, most: int, *order: Column) -> DataFrame:
-    return within_budget(rows.withColumn("_n", X.n_words(F.col(text))), "_n", most, *order).drop("_n")
+def mentions_budget(rows: DataFrame, text: str, most: int, *order: Column, tokenizer: X.Tokenizer | None = None) -> DataFrame:
+    return within_budget(rows.withColumn("_n", F.coalesce(X.n_tokens(F.col(text), tokenizer), F.lit(0))), "_n", most, *order).drop("_n")
+
+
+IRRELEVANT = "irrelevant_relation_ids"
+
+
+def recognize(relations: DataFrame, query: str, model: Callable[[list[str]], list[str]], batch: int = 10, order: str = "pos") -> DataFrame:
+    """Relations that a model does not call irrelevant to the query; it reads one batch of numbered relations at a time.
+
+    ``order`` counts from 0 without gaps, so that a batch is bounded.  The model
+    answers with JSON that lists numbers under ``irrelevant_relation_ids``;
+    without readable JSON a batch stays.  If all were dropped, all stay.
+    """
+    line = F.concat(F.col(order).cast("string"), F.lit(": "), F.concat_ws(" | ", "src", "tgt", F.coalesce("description", F.lit(""))))
+    each = relations.withColumn("batch", F.floor(F.col(order) / batch))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n")
+    asked = each.groupBy("batch").agg(F.concat(F.lit(f"{query}\n"), lines).alias("prompt"))
+    said = Scratch(relations.sparkSession, "recognize").save(E.ask(asked, model, "prompt", "said").select(X.first_json(F.col("said")).alias("j")))
+    gone = said.select(F.explode(F.from_json("j", f"{IRRELEVANT} array<bigint>")[IRRELEVANT]).alias(order)).distinct()
+    rel, _ = recognition_filter(relations.join(gone.withColumn("_g", F.lit(True)), order, "left"), F.coalesce("_g", F.lit(False)), batch, order)
+    return rel.drop("_g", "batch")

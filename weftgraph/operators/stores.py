@@ -19,6 +19,26 @@ def get_by_ids(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return ids.join(store, key, "left")
 
 
+def get_by_id(store: DataFrame, ident, key: str = "id") -> DataFrame:
+    """The row of one id, if any."""
+    return store.where(F.col(key) == F.lit(ident))
+
+
+def get_all(store: DataFrame) -> DataFrame:
+    """All rows; missing write times are 0."""
+    return store.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("create_time", "update_time") if c in store.columns})
+
+
+def by_value(status: DataFrame, column: str, value) -> DataFrame:
+    """Documents of a status or a track."""
+    return status.where(F.col(column) == F.lit(value))
+
+
+def by_ids(status: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Documents of the asked ids; misses are left out."""
+    return status.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def missing_keys(keys: DataFrame, store: DataFrame, key: str = "id") -> DataFrame:
     return keys.select(key).distinct().join(store, key, "left_anti")
 

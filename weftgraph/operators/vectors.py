@@ -17,9 +17,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null where a vector is null, of another length or zero."""
+    """Cosine similarity; null where a vector is null, of another length, zero or not finite."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
+    return F.when((F.size(a) == F.size(b)) & (norm > 0) & (norm < float("inf")), dot(a, b) / norm)
 
 
 def literal(vector: list[float]) -> Column:
@@ -31,7 +31,7 @@ def scored(rows: DataFrame, query: list[float], vector: str = "vector", out: str
     size = sum(float(x) ** 2 for x in query) ** 0.5
     v, q = F.col(vector), literal(query)
     norm = F.sqrt(dot(v, v))
-    ok = v.isNotNull() & (F.size(v) == len(query)) & (norm > 0)
+    ok = v.isNotNull() & (F.size(v) == len(query)) & (norm > 0) & (norm < float("inf"))  # NaN is the largest number here
     return rows.withColumn(out, F.when(ok, dot(v, q) / (norm * F.lit(size or None).cast("double"))))
 
 
@@ -111,3 +111,43 @@ def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, bloc
     # Fresh columns: both sides come from one table.
     right = put.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("p").alias("q2")).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("q2"))))
     return left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInPandas(_block(threshold), "a bigint, b bigint, score double")
+
+
+def _bands(width: int, bands: int, dim: int, seed: int):
+    """For every row and band the sign pattern of ``width`` random projections."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        planes = np.random.default_rng(seed).normal(size=(dim, width * bands)).astype(np.float32)
+        weights = (1 << np.arange(width)).astype(np.int64)
+        for b in batches:
+            if len(b):
+                bits = (np.stack(b["v"].to_numpy()).astype(np.float32) @ planes >= 0).reshape(len(b), bands, width)
+                key = (bits * weights).sum(axis=2) * bands + np.arange(bands)
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), bands), "key": key.reshape(-1)})
+
+    return run
+
+
+def near_pairs(rows: DataFrame, key: str, vector: str, threshold: float, dim: int, recall: float = 0.98, seed: int = 3) -> DataFrame:
+    """``a, b, score`` of pairs at or above the threshold that share a band of random projections.
+
+    The scalable candidate search: bands of about log2(rows) signs, as many as
+    the wanted recall at the threshold needs, so that a cell holds few unrelated
+    rows.  Scores are exact; ``similar_pairs`` finds every pair instead.
+    """
+    import math
+
+    from weftgraph.plans import Scratch
+
+    scratch = Scratch(rows.sparkSession, "bands")
+    v = F.col(vector)
+    fine = scratch.save(rows.where((F.size(v) == dim) & (dot(v, v) > 0) & ~F.isnan(dot(v, v))).select(F.col(key).cast("bigint").alias("id"), v.cast("array<float>").alias("v")))
+    width = max(6, math.ceil(math.log2(max(2, fine.count()))) - 2)
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** width
+    bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same, 0.999))))
+    keyed = scratch.save(fine.mapInPandas(_bands(width, bands, dim, seed), "id bigint, key bigint"))
+    met = keyed.toDF("a", "key").join(keyed.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
+    scored = met.join(fine.toDF("a", "va"), "a").join(fine.toDF("b", "vb"), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score"))
+    return scored.where(F.col("score") >= threshold)

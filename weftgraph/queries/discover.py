@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as X
+from weftgraph.operators import chunking as C
 from weftgraph.operators import discovery as D
+from weftgraph.plans import Scratch
 from weftgraph.queries.base import Registry, table
-from weftgraph.queries.ingest import tok
+from weftgraph.sources.files import text_folder
 
 q = Registry()
 
 
 @q("ch7_pluggable_chunking", "SELECT doc_id, (i - 1)::INT AS chunk_order_index, md5(p) AS digest FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS p, generate_subscripts(string_split(text, '. '), 1) AS i FROM documents WHERE text IS NOT NULL AND text <> '')")
 def ch7(spark, sf):
-    c = D.chunk_with(table(spark, sf, "documents"), lambda t: t.split(". "), "doc_id", "text")
+    c = C.chunked(table(spark, sf, "documents"), "doc_id", "text", lambda t: t.split(". "))
     return c.select("doc_id", "chunk_order_index", F.md5("content").alias("digest"))
 
 
-@q("ex6_orphan_descriptions", "SELECT vec_id, CASE WHEN entity_type = 'person' THEN 'Person' ELSE 'Other' END AS entity_type, 'about ' || entity_name AS description FROM vdb_entities WHERE entity_name IS NOT NULL AND entity_type IS NOT NULL AND NOT regexp_matches(entity_name, '[()<>]') AND trim(entity_name) = entity_name AND NOT regexp_matches(entity_name, '\\s$')")
+@q("ex6_orphan_descriptions", "SELECT vec_id, CASE WHEN entity_type = 'person' THEN 'Person' ELSE 'Other' END AS entity_type, trim('about ' || regexp_replace(entity_name, '[ \\t\\n\\x{0b}\\f\\r]+$', '')) AS description FROM vdb_entities WHERE entity_name IS NOT NULL")
 def ex6(spark, sf):
-    v = table(spark, sf, "vdb_entities").where("entity_name IS NOT NULL AND entity_type IS NOT NULL").where(~F.col("entity_name").rlike(r"[()<>]|\s$|^ "))
+    v = table(spark, sf, "vdb_entities").where("entity_name IS NOT NULL")
     asked = v.select("vec_id", F.concat(F.lit("("), F.when(F.col("entity_type") == "person", "PERSON").otherwise("thing"), F.lit(")<SEP>(about "), "entity_name", F.lit(")")).alias("entity_name"))
     return D.describe_orphans(asked, ["Person", "Organization"], lambda prompts: prompts).select("vec_id", "entity_type", "description")
 
@@ -38,15 +40,6 @@ def ex8(spark, sf):
     return D.discover_types(types, lambda texts: [t + "\n " + t.upper() for t in texts])
 
 
-@q("ag6_summarize", f"""WITH t AS (SELECT source, doc_id, text, len({tok('text')}) AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT source, count(*) AS f, sum(n) AS t FROM t GROUP BY source)
-   SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM t JOIN g USING (source) WHERE f = 1 OR ((g.t <= 12000 OR f <= 2) AND f < 8 AND g.t < 1200) GROUP BY source""")
-def ag6(spark, sf):
-    """Sources small enough to be joined as they are; the others go to the model."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("source", "doc_id", "text")
-    s = D.summarize(d, "source", "doc_id", "text", lambda parts: ["told"] * len(parts))
-    return s.where("NOT startswith(summary, 'told')").select("source", F.md5("summary").alias("digest"))
-
-
 @q("ag6_summarize_all")
 def ag6b(spark, sf):
     """Every source: also those packed in groups and told in rounds; the stub answers with the digest of what it reads."""
@@ -61,8 +54,12 @@ def digests(parts):
     return [hashlib.md5(p.encode("utf-8", "surrogatepass")).hexdigest() for p in parts]
 
 
-@q("src3_text_folder", "SELECT md5(text) AS digest, count(*) > 0 AS found FROM documents WHERE length(regexp_replace(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]', '', 'g')) > 0 GROUP BY 1")
+@q("src3_text_folder", "SELECT md5(n_name) AS digest, 'doc-' || md5(n_name) AS id FROM nation WHERE n_regionkey <> 1")
 def src3(spark, sf):
-    """Documents that stand as whole texts: the rule of the folder source, blank ones left out."""
-    d = table(spark, sf, "documents").where(F.length(X.strip(F.col("text"))) > 0)
-    return d.groupBy(F.md5("text").alias("digest")).agg((F.count(F.lit(1)) > 0).alias("found"))
+    """Every nation's name in a text file of its own, read back but for those that are processed."""
+    root = Scratch(spark, "folder").root
+    n = table(spark, sf, "nation")
+    n.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).repartition(25, "k").write.partitionBy("k").option("lineSep", "").text(root)
+    found = text_folder(spark, f"{root}/*")
+    blank = n.where("n_regionkey = 1").select(X.record_id("doc-", F.col("n_name")).alias("id"))
+    return found.join(blank, "id", "left_anti").select(F.md5("content").alias("digest"), "id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import graph as G
 from weftgraph.operators import vectors as V
+from weftgraph.plans import numbered
 from weftgraph.queries.base import Registry, table
 from weftgraph.queries.ingest import LINES, light_edges, line_mentions
 
@@ -29,7 +30,7 @@ SEEDS = "seeds AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size >= 45)"
 
 @q("jn1_get_nodes", f"WITH {SEEDS} SELECT 'P' || p_partkey AS entity_name, p_type AS entity_type FROM part WHERE 'P' || p_partkey IN (SELECT id FROM seeds)")
 def jn1(spark, sf):
-    return part_nodes(spark, sf).join(big_parts(spark, sf), "entity_name").select("entity_name", "entity_type")
+    return G.get_nodes(part_nodes(spark, sf), big_parts(spark, sf)).select("entity_name", "entity_type")
 
 
 @q("jn2_get_edges", f"WITH {E} SELECT 'S' || l_suppkey AS a, 'P' || l_partkey AS b, l_orderkey AS o, weight FROM lineitem JOIN e ON src = 'P' || l_partkey AND tgt = 'S' || l_suppkey WHERE l_quantity >= 40")
@@ -82,12 +83,8 @@ def jn6(spark, sf):
 
 @q("jn7_endpoints_in_order", f"WITH {E} SELECT id AS entity_name, min([o, side]) AS first FROM (SELECT src AS id, weight, src, tgt, 0 AS side FROM e UNION ALL SELECT tgt, weight, src, tgt, 1 FROM e) JOIN (SELECT src AS s2, tgt AS t2, row_number() OVER (ORDER BY src, tgt) AS o FROM e) ON s2 = src AND t2 = tgt GROUP BY id".replace("min([o, side]) AS first", "min(o * 2 + side) AS first"))
 def jn7(spark, sf):
-    from pyspark.sql import Window
-
-    e = light_edges(spark, sf)
-    # Numbering for the test only: the relations' order is their place among all, sorted.
-    numbered = e.select("src", "tgt", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("src", "tgt")).alias("ord"))
-    return G.endpoints_in_order(numbered).select("entity_name", (F.col("first.o") * 2 + F.col("first.side")).cast("bigint").alias("first"))
+    placed = numbered(light_edges(spark, sf).select("src", "tgt"), "src", "tgt", start=1)
+    return G.endpoints_in_order(placed).select("entity_name", (F.col("first.o") * 2 + F.col("first.side")).cast("bigint").alias("first"))
 
 
 @q("jn8_entity_chunks", """SELECT id, min([vec_id, place]) AS first, count(*) AS occurrences FROM (SELECT vec_id, unnest(string_split(source_id, '<SEP>')) AS id, generate_subscripts(string_split(source_id, '<SEP>'), 1) - 1 AS place FROM vdb_entities) WHERE id <> '' GROUP BY id""")
@@ -167,9 +164,9 @@ def vs7(spark, sf):
 
 
 @q("vs8_cosine", """SELECT o.vec_id, round(CASE WHEN len(o.vector) = 64 AND NOT coalesce(list_bool_or(list_transform(o.vector, lambda x: isnan(x))), false) AND list_dot_product(o.vector::DOUBLE[], o.vector::DOUBLE[]) > 0 THEN list_cosine_similarity(o.vector::DOUBLE[], q.embedding::DOUBLE[]) END, 6) AS score
-   FROM vdb_entities o, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE o.vector IS NULL OR NOT coalesce(list_bool_or(list_transform(o.vector, lambda x: isnan(x))), false)""")
+   FROM vdb_entities o, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q""")
 def vs8(spark, sf):
-    v = table(spark, sf, "vdb_entities").where("vector IS NULL OR NOT exists(vector, x -> isnan(x))")
+    v = table(spark, sf, "vdb_entities")
     return V.scored(v, query_vector(spark, sf)).select("vec_id", F.round("score", 6).alias("score"))
 
 

@@ -12,29 +12,39 @@ from weftgraph.queries.base import Registry, table
 from weftgraph.queries.stores import WS, normalize_sql, sanitize_sql, strip_sql
 
 q = Registry()
-_TOK = r"list_filter(regexp_split_to_array({x}, '[\s\x{{0b}}]+'), lambda x: x <> '')"
+_TOK = r"[\x{4E00}-\x{9FFF}]|[^\x{4E00}-\x{9FFF}\s\x{0b}]+"
 
 
 def tok(x: str) -> str:
-    return _TOK.format(x=x)
+    return f"regexp_extract_all({x}, '{_TOK}')"
+
+
+def spans(x: str) -> str:
+    """Tokens with the white space behind them."""
+    return f"regexp_extract_all({x}, '(?:{_TOK})[\\s\\x{{0b}}]*')"
+
+
+def stretch(w: str, most: int) -> str:
+    """The text from span s on, ``most`` spans long."""
+    return f"regexp_replace(array_to_string({w}[s + 1 : s + {most}], ''), '[\\s\\x{{0b}}]+$', '')"
 
 
 def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@q("ch1_windows", f"""WITH t AS (SELECT doc_id, {tok('text')} AS w FROM documents WHERE text IS NOT NULL),
+@q("ch1_windows", f"""WITH t AS (SELECT doc_id, {spans('text')} AS w FROM documents WHERE text IS NOT NULL),
    s AS (SELECT doc_id, w, unnest(range(0, len(w), 48)) AS s FROM t)
-   SELECT doc_id, (s // 48)::INT AS chunk_order_index, least(64, len(w) - s)::INT AS tokens, md5(array_to_string(w[s + 1 : s + 64], ' ')) AS digest FROM s""")
+   SELECT doc_id, (s // 48)::INT AS chunk_order_index, least(64, len(w) - s)::INT AS tokens, md5({stretch('w', 64)}) AS digest FROM s""")
 def ch1(spark, sf):
     c = C.fixed_windows(docs(spark, sf), "doc_id", "text", 64, 16)
     return c.select("doc_id", "chunk_order_index", "tokens", F.md5("content").alias("digest"))
 
 
 @q("ch2_split_then_windows", f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-   t AS (SELECT doc_id, i, p, {tok('p')} AS w FROM p),
+   t AS (SELECT doc_id, i, p, {spans('p')} AS w FROM p),
    c AS (SELECT doc_id, i, 0 AS s, len(w) AS tokens, {strip_sql('p')} AS content FROM t WHERE len(w) <= 64
-         UNION ALL SELECT doc_id, i, s, least(64, len(w) - s), array_to_string(w[s + 1 : s + 64], ' ') FROM (SELECT *, unnest(range(0, len(w), 48)) AS s FROM t WHERE len(w) > 64))
+         UNION ALL SELECT doc_id, i, s, least(64, len(w) - s), {stretch('w', 64)} FROM (SELECT *, unnest(range(0, len(w), 48)) AS s FROM t WHERE len(w) > 64))
    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, s) - 1)::INT AS chunk_order_index, tokens::INT AS tokens, md5(content) AS digest FROM c""")
 def ch2(spark, sf):
     c = C.by_character(docs(spark, sf), "doc_id", "text", "\n", 64, 16)
@@ -54,9 +64,9 @@ def ch4(spark, sf):
     return C.with_tables(table(spark, sf, "text_chunks"), "chunk_row", "content", 64, 16)
 
 
-@q("ch6_materialize", f"""WITH t AS (SELECT doc_id, {tok('text')} AS w FROM documents WHERE text IS NOT NULL),
+@q("ch6_materialize", f"""WITH t AS (SELECT doc_id, {spans('text')} AS w FROM documents WHERE text IS NOT NULL),
    s AS (SELECT doc_id, w, unnest(range(0, len(w), 48)) AS s FROM t),
-   c AS (SELECT doc_id, (s // 48)::INT AS o, array_to_string(w[s + 1 : s + 64], ' ') AS content FROM s)
+   c AS (SELECT doc_id, (s // 48)::INT AS o, {stretch('w', 64)} AS content FROM s)
    SELECT 'chunk-' || md5(content) AS id, doc_id AS full_doc_id, o AS chunk_order_index FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id DESC, o DESC) AS rn FROM c) WHERE rn = 1""")
 def ch6(spark, sf):
     d = docs(spark, sf)

@@ -11,7 +11,9 @@ from weftgraph.operators import vectors as V
 from weftgraph.queries.base import Registry, table
 from weftgraph.queries.graph import SEEDS, E, big_parts, part_nodes, similar_graph
 from weftgraph.queries.ingest import LINES, light_edges, line_mentions
+from weftgraph.plans import Scratch
 from weftgraph.sources import custom_graph as K
+from weftgraph.tables import Store
 
 q = Registry()
 SUP = "'S' || s_suppkey"
@@ -47,14 +49,10 @@ def mu4(spark, sf):
     return M.rename_entity(part_nodes(spark, sf), e, e.agg(F.min("src")).first()[0], "Renamed")[1]
 
 
-@q("mu5_create", f"WITH {E} SELECT src, tgt, weight FROM e UNION ALL SELECT 'P' || min(p_partkey), 'P' || max(p_partkey), 9.0 FROM part")
+@q("mu5_create", f"WITH {E} SELECT src, tgt, weight FROM e UNION ALL SELECT least('P' || min(p_partkey), 'P' || max(p_partkey)), greatest('P' || min(p_partkey), 'P' || max(p_partkey)), 9.0 FROM part")
 def mu5(spark, sf):
     p = table(spark, sf, "part").agg(F.concat(F.lit("P"), F.min("p_partkey")).alias("src"), F.concat(F.lit("P"), F.max("p_partkey")).alias("tgt"), F.lit(9.0).alias("weight"))
-    made = M.create_relation(part_nodes(spark, sf), light_edges(spark, sf), p)
-    low = F.col("src") < F.col("tgt")  # shown from the part with the smaller key
-    ends = F.when(low & (F.col("weight") == 9.0) & ~F.col("tgt").startswith("S"), True).otherwise(False)
-    first, last = p.select("src", "tgt").first()
-    return made.withColumns({"src": F.when(ends & (F.col("src") == min(first, last)), F.lit(first)).otherwise(F.col("src")), "tgt": F.when(ends & (F.col("tgt") == max(first, last)), F.lit(last)).otherwise(F.col("tgt"))}).select("src", "tgt", "weight")
+    return M.create_relation(part_nodes(spark, sf), light_edges(spark, sf), p).select("src", "tgt", "weight")
 
 
 MERGED = f"""{LINES}, e AS (SELECT tgt_id AS a, src_id AS b, count(*)::DOUBLE AS w, array_to_string(list_sort(list_distinct(list(f))), '<SEP>') AS k FROM m GROUP BY ALL), mp AS (SELECT {SUP} AS old, 'N' || s_nationkey AS new FROM supplier)"""
@@ -153,9 +151,18 @@ def mu12(spark, sf):
     return M.info(nodes, have, big_parts(spark, sf)).select("entity_name", "entity_type", "has_vector")
 
 
-@q("mu13_clear_cache", "SELECT chunk_row, id FROM text_chunks WHERE false")
+@q("mu13_clear_cache", "SELECT count(*) AS before, 0::BIGINT AS after, 1::BIGINT AS again FROM documents")
 def mu13(spark, sf):
-    return table(spark, sf, "text_chunks").select("chunk_row", "id").limit(0)
+    """A cache of the store with an answer to every document, emptied, and written to again."""
+    store = Store(spark, Scratch(spark, "cache").root)
+    rows = table(spark, sf, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("digest"), F.col("text").alias("answer"), F.lit("").alias("context"))
+    name = "llm_response_cache"
+    store.append(name, rows)
+    before = store.read(name).count()
+    store.drop(name)
+    after = store.read(name).count()
+    store.append(name, spark.createDataFrame([("d", "a", "c")], rows.schema))
+    return spark.createDataFrame([(before, after, store.read(name).count())], "before bigint, after bigint, again bigint")
 
 
 @q("snk1_export", f"WITH {E} SELECT 'entity' AS kind, 'P' || p_partkey AS a, NULL AS b, p_name AS description FROM part UNION ALL SELECT 'relation', src, tgt, 'w' || weight::INT FROM e UNION ALL SELECT 'relation', tgt, src, 'w' || weight::INT FROM e")
@@ -203,6 +210,7 @@ def tx12(spark, sf):
 
 @q("tx13_current_quarter", "SELECT event_id, year(ts)::INT AS year, quarter(ts)::INT AS quarter FROM events")
 def tx13(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.year("ts").alias("year"), F.quarter("ts").alias("quarter"))
+    q = X.year_and_quarter(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", q["year"].alias("year"), q["quarter"].alias("quarter"))
 
 

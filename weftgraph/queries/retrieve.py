@@ -10,6 +10,7 @@ from weftgraph.models import Config, QueryParam
 from weftgraph.operators import graph as G
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import vectors as V
+from weftgraph.plans import numbered
 from weftgraph.queries.base import Registry, table
 from weftgraph.queries.graph import PAIRS, Q, _name, query_vector, similar_graph
 from weftgraph.queries.ingest import tok
@@ -82,8 +83,9 @@ def rt2b(spark, sf):
 @q("rt03_vector_context", """WITH qv AS (SELECT vector::DOUBLE[] AS q FROM vdb_entities WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x))) AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0 ORDER BY vec_id LIMIT 1)
    SELECT vec_id, entity_name, round(list_cosine_similarity(vector::DOUBLE[], q), 6) AS score FROM vdb_entities, qv WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x))) AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0 AND list_cosine_similarity(vector::DOUBLE[], q) >= 0.2 ORDER BY list_cosine_similarity(vector::DOUBLE[], q) DESC, vec_id LIMIT 20""")
 def rt3(spark, sf):
-    v = table(spark, sf, "vdb_entities").where("size(vector) = 64 AND NOT exists(vector, x -> isnan(x)) AND exists(vector, x -> x <> 0)")
-    first = v.orderBy("vec_id").select("vector").first()[0]
+    v = table(spark, sf, "vdb_entities")
+    usable = v.where((F.size("vector") == 64) & V.cosine(F.col("vector"), F.col("vector")).isNotNull())
+    first = usable.orderBy("vec_id").select("vector").first()[0]
     return V.top_k(v, first, 20, "vec_id").select("vec_id", "entity_name", F.round("score", 6).alias("score"))
 
 
@@ -101,8 +103,8 @@ def rt4(spark, sf):
    SELECT id, p[1]::INT AS rank, p[2]::INT AS source FROM f""")
 def rt5(spark, sf):
     c = table(spark, sf, "text_chunks").where("tokens IS NOT NULL").select("id", "tokens", "chunk_row")
-    rank = lambda *o: c.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*o)).alias("rank"))
-    return R.round_robin(["id"], rank(F.desc("tokens"), "chunk_row"), rank("tokens", "chunk_row"), rank("chunk_row"))
+    rank = lambda *o: numbered(c, *o, out="rank", start=1)
+    return R.round_robin(["id"], rank(F.desc("tokens"), "chunk_row"), rank("tokens", "chunk_row"), rank("chunk_row")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def sims(spark, sf):
@@ -179,7 +181,7 @@ _FRP += """, al AS (SELECT src, d, x * 1.0 AS x FROM x0 UNION ALL SELECT src, d,
 @q("rt10_fastrp", f"WITH {_FRP} SELECT src AS entity_name, d::INT AS d, round(x, 6) AS x FROM em")
 def rt10(spark, sf):
     edges, *_ = sims(spark, sf)
-    return R.fastrp(edges, DIM).select("entity_name", "d", F.round("x", 6).alias("x"))
+    return R.fastrp(edges, DIM).select("entity_name", F.posexplode("x").alias("d", "x")).withColumn("x", F.round("x", 6))
 
 
 _ST = f"{_FRP}, mn AS (SELECT d, sum(x) AS m FROM em WHERE src IN (SELECT id FROM seeds) GROUP BY d), ss AS (SELECT src, sum(x * m) / (SELECT count(DISTINCT src) FROM em WHERE src IN (SELECT id FROM seeds)) AS score FROM em JOIN mn ON mn.d = em.d WHERE src NOT IN (SELECT id FROM seeds) GROUP BY src)"
@@ -233,7 +235,7 @@ def rt6_full(spark, sf):
 @q("rt10_fastrp_256")
 def rt10_full(spark, sf):
     edges, *_ = sims(spark, sf)
-    return R.fastrp(edges, Config.fastrp_dim).select("entity_name", "d", F.round("x", 6).alias("x"))
+    return R.fastrp(edges, Config.fastrp_dim).select("entity_name", F.posexplode("x").alias("d", "x")).withColumn("x", F.round("x", 6))
 
 
 @q("rt11_structural_scores_256")
@@ -351,7 +353,7 @@ def rt25(spark, sf):
 @q("rt26_recognition", f"WITH {PAIRS}, n AS (SELECT src, tgt, row_number() OVER (ORDER BY src, tgt) - 1 AS pos, weight FROM ve) SELECT src, tgt, pos // 10 AS batch FROM n WHERE weight >= 0.35")
 def rt26(spark, sf):
     _, edges = similar_graph(spark, sf)
-    rel, _ = R.recognition_filter(with_pos(edges, "src", "tgt"), F.col("weight") < 0.35)
+    rel, _ = R.recognition_filter(numbered(edges, "src", "tgt", out="pos"), F.col("weight") < 0.35)
     return rel.select("src", "tgt", "batch")
 
 

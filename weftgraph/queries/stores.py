@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import text as X
 from weftgraph.operators import stores as S
 from weftgraph.queries.base import Registry, table
+from weftgraph.sources.files import literal_texts
 
 q = Registry()
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -28,7 +29,7 @@ STORE = """store AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PA
 @q("kv1_get_by_id", f"WITH {STORE}, one AS (SELECT min(id) AS id FROM store) SELECT store.id, chunk_row, tokens FROM store JOIN one ON store.id = one.id")
 def kv1(spark, sf):
     s = store(spark, sf)
-    return s.join(F.broadcast(s.agg(F.min("id").alias("id"))), "id").select("id", "chunk_row", "tokens")
+    return S.get_by_id(s, s.agg(F.min("id")).first()[0]).select("id", "chunk_row", "tokens")
 
 
 @q("kv2_get_by_ids", f"WITH {STORE}, ids AS (SELECT doc_id AS pos, 'chunk-' || md5(text) AS id FROM documents WHERE text IS NOT NULL UNION ALL SELECT chunk_row + 1000000, id FROM text_chunks) SELECT pos, ids.id, s.chunk_row FROM ids LEFT JOIN store s ON s.id = ids.id")
@@ -46,8 +47,7 @@ def kv3(spark, sf):
 
 @q("kv4_get_all", "SELECT chunk_row, id, tokens, chunk_order_index, full_doc_id, coalesce(create_time, 0) AS create_time, coalesce(update_time, 0) AS update_time FROM text_chunks")
 def kv4(spark, sf):
-    stamp = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return table(spark, sf, "text_chunks").select("chunk_row", "id", "tokens", "chunk_order_index", "full_doc_id", stamp("create_time"), stamp("update_time"))
+    return S.get_all(table(spark, sf, "text_chunks")).select("chunk_row", "id", "tokens", "chunk_order_index", "full_doc_id", "create_time", "update_time")
 
 
 @q("kv5_upsert", f"WITH {STORE} SELECT id, chunk_row, update_time FROM store")
@@ -78,13 +78,13 @@ def st2(spark, sf):
 
 @q("st3_docs_by_status", "SELECT id, file_path, content_length FROM doc_status WHERE status = 'failed'")
 def st3(spark, sf):
-    return table(spark, sf, "doc_status").where("status = 'failed'").select("id", "file_path", "content_length")
+    return S.by_value(table(spark, sf, "doc_status"), "status", "failed").select("id", "file_path", "content_length")
 
 
 @q("st4_docs_by_track", "SELECT d.id, d.status, d.track_id FROM doc_status d WHERE track_id = (SELECT min(track_id) FROM doc_status)")
 def st4(spark, sf):
     d = table(spark, sf, "doc_status")
-    return d.join(F.broadcast(d.agg(F.min("track_id").alias("track_id"))), "track_id").select("id", "status", "track_id")
+    return S.by_value(d, "track_id", d.agg(F.min("track_id")).first()[0]).select("id", "status", "track_id")
 
 
 @q("st5_page", """SELECT id, status, file_path, (SELECT count(*) FROM doc_status WHERE status = 'processed') AS total_count FROM doc_status
@@ -95,8 +95,8 @@ def st5(spark, sf):
 
 @q("st6_docs_by_ids", "SELECT DISTINCT d.id, d.status FROM doc_status d WHERE d.id IN (SELECT full_doc_id FROM text_chunks)")
 def st6(spark, sf):
-    asked = table(spark, sf, "text_chunks").select(F.col("full_doc_id").alias("id")).distinct()
-    return table(spark, sf, "doc_status").join(asked, "id", "left_semi").select("id", "status").distinct()
+    asked = table(spark, sf, "text_chunks").select(F.col("full_doc_id").alias("id"))
+    return S.by_ids(table(spark, sf, "doc_status"), asked).select("id", "status").distinct()
 
 
 @q("st7_path_sort_key", "SELECT id, lower(file_path) AS sort_key FROM doc_status")
@@ -136,8 +136,8 @@ def src2(spark, sf):
 
 @q("src4_literal_texts", "SELECT 'text_' || (doc_id - 1) || '_' || substr(md5(text), 1, 16) AS id, doc_id FROM documents WHERE trim(text) <> ''")
 def src4(spark, sf):
-    d = table(spark, sf, "documents").where(F.trim("text") != "")
-    return d.select(F.concat(F.lit("text_"), (F.col("doc_id") - 1).cast("string"), F.lit("_"), F.substring(F.md5("text"), 1, 16)).alias("id"), "doc_id")
+    d = table(spark, sf, "documents")
+    return literal_texts(d.withColumn("ord", F.col("doc_id") - 1)).select("id", (F.col("ord") + 1).alias("doc_id"))
 
 
 @q("src5_regroup_chunks", f"""WITH {STORE} SELECT full_doc_id, count(*) AS n_chunks, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_order_index NULLS FIRST, id)) AS digest
@@ -198,7 +198,7 @@ def tx4(spark, sf):
 @q("tx5_is_float", r"SELECT word, regexp_full_match(word, '[-+]?[0-9]*\.?[0-9]+') AS is_float FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\s\x{0b}]+')) AS word FROM documents)")
 def tx5(spark, sf):
     w = table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
-    return w.select("word", F.col("word").rlike(r"^[-+]?[0-9]*\.?[0-9]+\z").alias("is_float"))
+    return w.select("word", X.is_float(F.col("word")).alias("is_float"))
 
 
 @q("tx6_summary", f"SELECT doc_id, CASE WHEN length(t) > 250 THEN substr(t, 1, 250) || '...' ELSE t END AS summary FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents)")
@@ -243,9 +243,9 @@ def tx14(spark, sf):
     return e.select("event_id", X.first_json(F.concat(F.lit("answer: "), "props", F.lit(" end"))).alias("found"))
 
 
-@q("tx15_keyword_json", "SELECT doc_id, [source] AS high, [lang, source] AS low FROM documents WHERE lang IS NOT NULL")
+@q("tx15_keyword_json", "SELECT doc_id, [source] AS high, [lang, source] AS low FROM documents")
 def tx15(spark, sf):
-    d = table(spark, sf, "documents").where("lang IS NOT NULL")
+    d = table(spark, sf, "documents")
     answer = F.concat(F.lit("ok "), F.to_json(F.struct(F.array("source").alias("high_level_keywords"), F.array("lang", "source").alias("low_level_keywords"))), F.lit(" done"))
     k = d.withColumn("k", X.keywords(answer))
     return k.select("doc_id", F.col("k.high_level_keywords").alias("high"), F.col("k.low_level_keywords").alias("low"))
@@ -265,6 +265,6 @@ def tx17(spark, sf):
     return c.select("chunk_row", "key", X.parse_cache_key(F.col("key")).alias("p")).select("chunk_row", "key", "p.*")
 
 
-@q("tx18_tokens", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\s\x{0b}]+'), lambda x: x <> ''))::INT AS n_tokens FROM documents WHERE text IS NOT NULL")
+@q("tx18_tokens", r"SELECT doc_id, len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]|[^\x{4E00}-\x{9FFF}\s\x{0b}]+'))::INT AS n_tokens FROM documents WHERE text IS NOT NULL")
 def tx18(spark, sf):
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", X.n_words(F.col("text")).alias("n_tokens"))

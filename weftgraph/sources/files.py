@@ -18,6 +18,12 @@ def text_folder(spark: SparkSession, path: str, processed: DataFrame | None = No
     return named.select(X.record_id("doc-", F.col("content")).alias("id"), "content", "file_path")
 
 
+def literal_texts(texts: DataFrame, text: str = "text", place: str = "ord", processed: DataFrame | None = None) -> DataFrame:
+    """``id, content, ord`` of non-blank texts that are passed as such and not processed yet (``processed``: ``id``)."""
+    rows = texts.where(F.length(F.trim(text)) > 0).select(X.literal_id(F.col(place), F.col(text)).alias("id"), F.col(text).alias("content"), F.col(place).alias("ord"))
+    return rows if processed is None else rows.join(processed.select("id"), "id", "left_anti")
+
+
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A key-value store kept as JSON lines."""
     return spark.read.schema(schema).json(path)
