@@ -54,12 +54,12 @@ def digests(parts):
     return [hashlib.md5(p.encode("utf-8", "surrogatepass")).hexdigest() for p in parts]
 
 
-@q("src3_text_folder", "SELECT md5(n_name) AS digest, 'doc-' || md5(n_name) AS id FROM nation WHERE n_regionkey <> 1")
+@q("src3_text_folder", "SELECT md5(n_name || chr(10)) AS digest, 'doc-' || md5(n_name || chr(10)) AS id FROM nation WHERE n_regionkey <> 1")
 def src3(spark, sf):
     """Every nation's name in a text file of its own, read back but for those that are processed."""
     root = Scratch(spark, "folder").root
     n = table(spark, sf, "nation")
-    n.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).repartition(25, "k").write.partitionBy("k").option("lineSep", "").text(root)
+    n.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).repartition(25, "k").write.partitionBy("k").text(root)
     found = text_folder(spark, f"{root}/*")
-    blank = n.where("n_regionkey = 1").select(X.record_id("doc-", F.col("n_name")).alias("id"))
+    blank = n.where("n_regionkey = 1").select(X.record_id("doc-", F.concat("n_name", F.lit("\n"))).alias("id"))
     return found.join(blank, "id", "left_anti").select(F.md5("content").alias("digest"), "id")
