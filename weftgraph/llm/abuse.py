@@ -43,7 +43,8 @@ from weftgraph.llm.bpe import VOCABULARIES
 WINDOW, STEP = 12, 6
 DIM, HIDDEN, ATTENTION = 24, 14, 12
 TRIGRAMS = 4096
-THRESHOLD = 0.5
+#: Windows of whole collections are abusive far more rarely than those of the fit, so a passage must be all but certain.
+THRESHOLD = 0.9
 #: Labelled rows used for fitting: those of the smallest key.
 FIT_ROWS = 20_000
 #: Windows of background in fitting; those drawn to find hard ones among them, and how many are kept a time.
