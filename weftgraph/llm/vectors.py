@@ -111,7 +111,7 @@ def learn_rotations(sample, bits: int, seed: int = 20):
 
 def index_shape(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     """Bits of a substring, and how many substrings reach ``recall`` at ``threshold``."""
-    width = min(24, max(12, math.ceil(math.log2(max(rows, 2))) - 1))
+    width = min(24, max(12, math.ceil(math.log2(max(rows, 2)))))
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi  # odds that a bit differs
     near = sum(math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(PROBE_BITS + 1))
     return width, max(4, math.ceil(math.log(1 - recall) / math.log(1 - near)))
@@ -426,8 +426,8 @@ def fit_sample(df: DataFrame, key: str, vector: str, n: int, dim: int = DIM):
     """At most ``FIT_ROWS`` of the ``n`` vectors, those of the smallest id hashes, for the rotation."""
     import numpy as np
 
-    # A share that holds about twice the rows wanted, of which the first are taken.
-    share = min(1.0, 2 * FIT_ROWS / max(1, n))
+    # A share that holds somewhat more rows than wanted, of which the first are taken.
+    share = min(1.0, 1.3 * FIT_ROWS / max(1, n))
     h = F.xxhash64(F.col(key).cast("bigint")) / F.lit(2.0**63)
     some = usable(df.where(h <= -1 + 2 * share), key, vector, dim)
     sample = some.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
