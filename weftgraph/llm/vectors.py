@@ -53,12 +53,10 @@ BLOCK_ROWS = 1 << 17
 RERANK_PAIRS = 200_000
 #: Standard deviations of a pair's Hamming distance within the radius.
 RADIUS_SIGMAS = 3.5
-_STEP = 1 << 21
+_STEP = 1 << 19
 
 
-def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
-    """``id, cls, v array<float>`` of the usable rows, scaled to length one; ``cls`` names the direction."""
-
+def _usable(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
@@ -78,8 +76,16 @@ def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
             cls = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in near]
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(fine)), pa.array(cls, pa.int64()), _lists(x)], names=["id", "cls", "v"])
 
-    kinds = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    return kinds.mapInArrow(run, "id bigint, cls bigint, v array<float>")
+    return run
+
+
+def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+
+def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
+    """``id, cls, v array<float>`` of the usable rows, scaled to length one; ``cls`` names the direction."""
+    return _vectors(df, key, vector).mapInArrow(_usable(dim), "id bigint, cls bigint, v array<float>")
 
 
 def _lists(x):
@@ -141,14 +147,14 @@ def matrix(column, n: int):
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _coded(shared):
-    """``id, cls, code`` of usable rows."""
+def _coded(shared, dim: int):
+    """``id, cls, code`` of the usable rows, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         mean, axes = shared.value
-        for batch in batches:
+        for batch in _usable(dim)(batches):
             n = batch.num_rows
             if n:
                 words = packed((matrix(batch.column(2), n) - mean) @ axes >= 0)
@@ -343,9 +349,12 @@ def _retrieve(shape: Shape, radius: int, parts: int):
             lead = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]
             ids, words = ids[lead], words[lead]
             subs = substrings(words, shape.width, shape.m)
-            row, cell, pair, own = shape.places(subs, ids)
-            here = np.flatnonzero(_partition(cell, pair, parts) == part)
-            row, cell, pair, own = row[here], cell[here], pair[here], own[here]
+            held: list = []
+            for at in range(0, len(ids), 8192):  # a row's places are found again, and those of other partitions left out at once
+                row, cell, pair, own = shape.places(subs[at : at + 8192], ids[at : at + 8192])
+                here = _partition(cell, pair, parts) == part
+                held.append((row[here] + at, cell[here], pair[here], own[here]))
+            row, cell, pair, own = (np.concatenate(x) for x in zip(*held))
             tag = cell >> shape.bits
             _, place = np.unique((cell << 32) | pair, return_inverse=True)
             value = (place.astype(np.uint64) << np.uint64(32)) | subs[row, tag // CHUNKS].astype(np.uint64)
@@ -441,7 +450,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, k: int
     n = df.count()
     width, m = index_shape(n, threshold, recall)
     shared = spark.sparkContext.broadcast(learn_rotations(fit_sample(df, key, vector, n, dim), width * m))
-    coded = scratch.save(usable(df, key, vector, dim).mapInArrow(_coded(shared), "id bigint, cls bigint, code binary"), "lz4")
+    coded = scratch.save(_vectors(df, key, vector).mapInArrow(_coded(shared, dim), "id bigint, cls bigint, code binary"), "lz4")
     # Equal directions are one class; the k + 1 smallest ids of it are all that can be neighbours.
     byv = coded.select("id", "cls")
     heads = byv.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -461,8 +470,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, k: int
     routed = coded.mapInArrow(_route(shape, keys), "p int, part int, rows binary")
     radius = full_radius(width * m, threshold)
     found = scratch.save(routed.repartition(tasks, "p").mapInArrow(_retrieve(shape, radius, tasks), "a bigint, b bigint"))
-    floats = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    close = scratch.save(rerank(found, floats, threshold, found.count(), tasks))
+    close = scratch.save(rerank(found, _vectors(df, key, vector), threshold, found.count(), tasks))
     rep_of = many.select("id", "rep")
     close = close.join(rep_of.toDF("a", "ra"), "a", "left").join(rep_of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "cos")
     one_way = close.select(F.col("a").alias("id"), F.col("b").alias("other"), "cos").union(close.select("b", "a", "cos"))
