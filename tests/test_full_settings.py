@@ -41,14 +41,14 @@ def test_structural_embedding_has_256_dimensions(spark, graph):
     total *= deg[:, None] ** -0.1
     total /= np.linalg.norm(total, axis=1, keepdims=True)
     got = np.zeros_like(total)
-    rows = queries["rt10_fastrp_256"](spark, DIR).collect()
+    rows = queries["rt10_fastrp"](spark, DIR).collect()
     for r in rows:
         got[at[r.entity_name], r.d] = r.x
     assert len(rows) == total.size and np.allclose(got, total, atol=2e-6)
     inside = [at[s] for s in seeds if s in at]
     score = {n: float(total[at[n]] @ total[inside].mean(axis=0)) for n in names if n not in seeds}
     want = sorted(score.values(), reverse=True)[:20]
-    top = queries["rt12_structural_top_256"](spark, DIR).collect()
+    top = queries["rt12_structural_top"](spark, DIR).collect()
     assert len(top) == len(want) and np.allclose([r.score for r in top], want, atol=2e-6) and all(abs(score[r.entity_name] - r.score) < 2e-6 for r in top)
 
 
@@ -66,5 +66,5 @@ def test_hops_take_ten_neighbours(spark, graph):
                 want[t] = (via, round(s, 5), hop)
                 frontier.append(t)
         visited |= set(frontier)
-    got = {r.entity_name: (r.via, r.score, r.hop) for r in queries["rt06_multi_hop_10"](spark, DIR).collect()}
+    got = {r.entity_name: (r.via, r.score, r.hop) for r in queries["rt06_multi_hop"](spark, DIR).collect()}
     assert set(got) == set(want) and all((got[k][0], got[k][2]) == (want[k][0], want[k][2]) and abs(got[k][1] - want[k][1]) < 2e-5 for k in want)

@@ -270,3 +270,47 @@ def test_merging_until_stable_equals_going_one_by_one(spark):
             want = {k: a if v == b else v for k, v in want.items()}
     assert {r.entity_name for r in got.collect()} == left and rounds >= 2
     assert {(r.src, r.tgt) for r in links.collect()} == {tuple(sorted((want[a], want[b]))) for a, b in (("a", "e"), ("d", "f"), ("b", "e")) if want[a] != want[b]}
+
+
+def test_pagerank_stops_when_the_change_is_small(spark):
+    import numpy as np
+
+    from weftgraph.operators import retrieval as Q
+
+    links = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 1.0), ("a", "d", 0.5)]
+    edges = spark.createDataFrame(links, "src string, tgt string, weight double")
+    seeds = spark.createDataFrame([("a", 0.7), ("z", 0.3)], "entity_name string, p double")  # z has no edge
+    names = ["a", "b", "c", "d", "z"]
+    w = np.zeros((5, 5))
+    for a, b, x in links:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = x
+    share = np.divide(w, w.sum(axis=1, keepdims=True), out=np.zeros_like(w), where=w.sum(axis=1, keepdims=True) > 0)
+    p, rank, steps = np.array([0.7, 0, 0, 0, 0.3]), np.full(5, 0.2), 0
+    while True:
+        new = 0.85 * (rank @ share + rank[4] * p) + 0.15 * p
+        change, rank, steps = np.abs(new - rank).sum(), new, steps + 1
+        if change < 5 * 1e-3:
+            break
+    got = {r.entity_name: r.rank for r in Q.pagerank(edges, seeds, 1000, tolerance=1e-3).collect()}
+    assert steps < 60 and set(got) == set(names) and all(abs(got[n] - r) < 1e-9 for n, r in zip(names, rank))
+
+
+def test_given_ids_are_kept_and_must_differ(spark):
+    from weftgraph.operators import stores as S
+
+    known = spark.createDataFrame([("mine-2",)], "id string")
+    rows = [(1, "one", "mine-1"), (2, "two", "mine-2"), (3, "one", "mine-3"), (4, "three", None), (5, "four", "")]
+    df = spark.createDataFrame(rows, "ord int, content string, id string").selectExpr("*", "'f' AS file_path", "current_timestamp() AS created_at")
+    full, status = S.enqueue(df, known, "t")
+    got = {r.content: r.id for r in full.collect()}
+    assert set(got) == {"one", "three", "four"} and got["one"] == "mine-1" and got["three"].startswith("doc-") and got["four"].startswith("doc-")
+    with pytest.raises(ValueError):
+        S.enqueue(df.withColumn("id", F.lit("same")), known, "t")
+
+
+def test_communities_of_two_cliques(spark):
+    from weftgraph.operators import graph as G
+
+    cliques = [(a, b, 2.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.5)]
+    got = {r.entity_name: r.community for r in G.communities(spark.createDataFrame(cliques, "src string, tgt string, weight double")).collect()}
+    assert got == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("wxyz", "w")}

@@ -47,14 +47,15 @@ class Engine:
     # -- ingest --
 
     def enqueue(self, docs: DataFrame, track: str = "track") -> str:
-        """Queue ``ord, content, file_path, time_label?, created_at?``; returns the track id."""
+        """Queue ``ord, content, file_path, id?, time_label?, created_at?``; returns the track id."""
         if "created_at" not in docs.columns:
             docs = docs.withColumn("created_at", F.current_timestamp())
         if "time_label" not in docs.columns:
             docs = docs.withColumn("time_label", F.lit(None).cast("string"))
         scratch = Scratch(self.spark, "enqueue")
         full, status = S.enqueue(docs, self.store.read("doc_status"), track)
-        labels = docs.select(X.record_id("doc-", X.sanitize(F.col("content"))).alias("id"), "time_label", "ord")
+        made = X.record_id("doc-", X.sanitize(F.col("content")))
+        labels = docs.select((F.coalesce(F.when(F.length("id") > 0, F.col("id")), made) if "id" in docs.columns else made).alias("id"), "time_label", "ord")
         labels = S.latest(labels, "id", F.col("ord")).select("id", "time_label")
         status = scratch.save(status.join(labels, "id", "left").withColumns({"chunks_count": F.lit(None).cast("int"), "error_msg": F.lit(None).cast("string")}))
         self.store.append("full_docs", full)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as X
+from weftgraph.plans.scratch import Scratch
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -82,3 +83,27 @@ def neighbours_top(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """The ``k`` heaviest neighbours of each seed."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "tgt")
     return both_ways(edges.select("src", "tgt", "weight")).join(seeds.select(F.col("entity_name").alias("src")), "src", "left_semi").withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """``entity_name, community``: label propagation over undirected weighted edges.
+
+    In each round a node takes the label with the greatest weight among itself
+    (weight 0) and its neighbours, the smallest on a tie, so the outcome is
+    deterministic; it ends early when no label changes.  Weights are summed on
+    the map side, so a hub is no task's group.
+    """
+    scratch = Scratch(edges.sparkSession, "communities")
+    links = scratch.save(both_ways(edges.select("src", "tgt", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w"))))
+    labels = scratch.save(links.select(F.col("src").alias("entity_name")).distinct().withColumn("community", F.col("entity_name")))
+    for _ in range(rounds):
+        told = links.join(labels.toDF("tgt", "l"), "tgt").select(F.col("src").alias("entity_name"), "l", "w")
+        votes = told.union(labels.select("entity_name", "community", F.lit(0.0))).groupBy("entity_name", "l").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("entity_name").agg(F.min(F.struct((-F.col("w")).alias("w"), "l"))["l"].alias("community"))
+        new = scratch.save(best)
+        moved = new.join(labels.withColumnRenamed("community", "old"), "entity_name").where("community <> old").limit(1).count()
+        scratch.drop(labels)
+        labels = new
+        if not moved:
+            break
+    return labels

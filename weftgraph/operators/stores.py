@@ -86,12 +86,17 @@ def page(status: DataFrame, of: str | None = None, number: int = 1, size: int =
 def enqueue(docs: DataFrame, known: DataFrame, track: str) -> tuple[DataFrame, DataFrame]:
     """``(full_docs, doc_status)`` of new documents.
 
-    ``docs``: ``ord, content, file_path, created_at``.  Contents are sanitized,
-    the first of equal ones is kept, ids are the md5 of the content, and ids
-    that ``known`` has are left out.
+    ``docs``: ``ord, content, file_path, created_at, id?``.  Contents are sanitized,
+    the first of equal ones is kept, ids are the md5 of the content where the
+    caller gives none, and ids that ``known`` has are left out.  Given ids must
+    differ.
     """
-    clean = docs.withColumn("content", X.sanitize(F.col("content"))).where(F.length("content") > 0)
-    ident = clean.withColumn("id", X.record_id("doc-", F.col("content")))
+    own = F.col("id") if "id" in docs.columns else F.lit(None).cast("string")
+    clean = docs.withColumn("_own", F.when(F.length(own) > 0, own)).withColumn("content", X.sanitize(F.col("content"))).where(F.length("content") > 0)
+    if "id" in docs.columns and clean.where("_own IS NOT NULL").groupBy("_own").count().where("count > 1").limit(1).count():
+        raise ValueError("ids must be unique")
+    first = latest(clean.withColumn("_c", F.md5("content")), "_c", F.col("ord")).drop("_c")
+    ident = first.withColumn("id", F.coalesce("_own", X.record_id("doc-", F.col("content")))).drop("_own")
     fresh = latest(ident, "id", F.col("ord")).join(known.select("id"), "id", "left_anti")
     status = fresh.select(
         "id", X.summary(F.col("content")).alias("content_summary"), F.length("content").alias("content_length"),

@@ -176,6 +176,17 @@ def vs9(spark, sf):
     return v.join(F.broadcast(v.agg(F.min("id").alias("id"))), "id").select("vec_id", "entity_name")
 
 
+_COMMUNITIES = f"{E}, lk AS (SELECT src, tgt, weight AS w FROM e UNION ALL SELECT tgt, src, weight FROM e), g0 AS (SELECT DISTINCT src AS id, src AS c FROM lk)"
+for _i in (1, 2, 3):
+    _COMMUNITIES += f""", v{_i} AS (SELECT id, c, sum(w) AS w FROM (SELECT lk.src AS id, c, w FROM lk JOIN g{_i - 1} g ON g.id = lk.tgt UNION ALL SELECT id, c, 0.0 FROM g{_i - 1}) GROUP BY id, c),
+   g{_i} AS (SELECT id, c FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, c) AS r FROM v{_i}) WHERE r = 1)"""
+
+
+@q("snk4_communities", f"WITH {_COMMUNITIES} SELECT id AS entity_name, c AS community FROM g3")
+def snk4(spark, sf):
+    return G.communities(light_edges(spark, sf), 3)
+
+
 @q("rt18_labels", f"WITH {E} SELECT src AS entity_name FROM e UNION SELECT tgt FROM e")
 def rt18(spark, sf):
     return G.degrees(light_edges(spark, sf)).select("entity_name").orderBy("entity_name")

@@ -16,7 +16,8 @@ from weftgraph.queries.graph import PAIRS, Q, _name, query_vector, similar_graph
 from weftgraph.queries.ingest import tok
 
 q = Registry()
-HOPS_TOP, HOPS_THRESHOLD = 5, 0.2
+# The engine's own settings.
+HOPS_TOP, HOPS_THRESHOLD = QueryParam.top_neighbors, QueryParam.multi_hop_relevance_threshold
 
 
 def hits(nodes, query, k=20, threshold=0.2):
@@ -122,8 +123,8 @@ SIMS = f"""{Q}, {PAIRS}, es AS (SELECT {_name('vec_id')} AS id, vec_id, score AS
 def _hop_sql(h: int, frontier: str, visited: str) -> str:
     return f"""c{h} AS (SELECT lk.src, lk.tgt, f.pos, 0.4 * greatest(0.0, e.sim) + 0.5 * greatest(0.0, lk.weight) + 0.1 * pow(0.8, {h - 1}) AS score FROM lk JOIN {frontier} f ON f.id = lk.src JOIN es e ON e.id = lk.tgt WHERE lk.tgt NOT IN ({visited})),
    k{h} AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, tgt) AS r FROM c{h} WHERE score >= 0.2),
-   n{h} AS (SELECT tgt AS id, src AS via, score, pos AS p, r FROM (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY pos, r) AS z FROM k{h} WHERE r <= 5) WHERE z = 1),
-   f{h} AS (SELECT id, p * 6 + r AS pos FROM n{h})"""
+   n{h} AS (SELECT tgt AS id, src AS via, score, pos AS p, r FROM (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY pos, r) AS z FROM k{h} WHERE r <= {HOPS_TOP}) WHERE z = 1),
+   f{h} AS (SELECT id, p * {HOPS_TOP + 1} + r AS pos FROM n{h})"""
 
 
 HOPS = f"{SIMS}, {_hop_sql(1, 'seeds', 'SELECT id FROM seeds')}, {_hop_sql(2, 'f1', 'SELECT id FROM seeds UNION SELECT id FROM n1')}"
@@ -169,7 +170,7 @@ def rt9(spark, sf):
     return best.select("entity_name", F.round("rank", 6).alias("rank"))
 
 
-DIM = 16
+DIM = Config.fastrp_dim
 _FRP = f"""{SIMS}, lo AS (SELECT src, tgt, weight AS w FROM lk UNION ALL SELECT DISTINCT src, src, 1.0 FROM lk), dg AS (SELECT src, sum(w) AS deg FROM lo GROUP BY src), wk AS (SELECT lo.src, lo.tgt, w / sqrt(a.deg * b.deg) AS w FROM lo JOIN dg a ON a.src = lo.src JOIN dg b ON b.src = lo.tgt),
    x0 AS (SELECT src, d, CASE WHEN ('0x' || substr(md5(src || '|' || d), 1, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END / sqrt({DIM}::DOUBLE) AS x FROM dg, range(0, {DIM}) t(d))"""
 for _i in (1, 2, 3):
@@ -224,51 +225,6 @@ def rt15(spark, sf):
     return G.induced(edges, every).select("src", "tgt", "rank")
 
 
-# The same at the engine's own settings, without SQL; tested against brute force.
-
-
-@q("rt06_multi_hop_10")
-def rt6_full(spark, sf):
-    return expanded(spark, sf, QueryParam.top_neighbors)[0].withColumn("score", F.round("score", 6))
-
-
-@q("rt10_fastrp_256")
-def rt10_full(spark, sf):
-    edges, *_ = sims(spark, sf)
-    return R.fastrp(edges, Config.fastrp_dim).select("entity_name", F.posexplode("x").alias("d", "x")).withColumn("x", F.round("x", 6))
-
-
-@q("rt11_structural_scores_256")
-def rt11_full(spark, sf):
-    edges, seeds, *_ = sims(spark, sf)
-    return R.structural_scores(R.fastrp(edges, Config.fastrp_dim), seeds).select("entity_name", F.round("score", 6).alias("score"))
-
-
-@q("rt12_structural_top_256")
-def rt12_full(spark, sf):
-    return rt11_full(spark, sf).orderBy(F.desc("score"), "entity_name").limit(20)
-
-
-@q("rt13_merge_entities_10")
-def rt13_full(spark, sf):
-    hop, edges, seeds, ent, rel = expanded(spark, sf, QueryParam.top_neighbors)
-    return R.merge_entities(("multihop", hop), ("ppr", R.query_aware_pagerank(edges, seeds, ent, rel, 50, ITERATIONS, tolerance=None)))
-
-
-@q("rt14_merge_relations_10")
-def rt14_full(spark, sf):
-    hop, edges, *_ = expanded(spark, sf, QueryParam.top_neighbors)
-    return R.merge_relations(hop.select(F.col("via").alias("src"), F.col("entity_name").alias("tgt")), edges)
-
-
-@q("rt15_three_perspectives_10")
-def rt15_full(spark, sf):
-    hop, edges, seeds, ent, rel = expanded(spark, sf, QueryParam.top_neighbors)
-    more = R.query_aware_pagerank(edges, seeds, ent, rel, 50, ITERATIONS, tolerance=None)
-    every = seeds.select("entity_name").union(hop.select("entity_name")).union(more.select("entity_name"))
-    return G.induced(edges, every).select("src", "tgt", "rank")
-
-
 _ENDS = f"{PAIRS}, lk AS (SELECT src, tgt FROM ve UNION ALL SELECT tgt, src FROM ve), tp AS (SELECT id, row_number() OVER (ORDER BY c DESC, id) AS r FROM vd), s0 AS (SELECT id AS a FROM tp WHERE r = 1), s1 AS (SELECT id AS b FROM tp WHERE r = 2)"
 
 
