@@ -57,7 +57,9 @@ BLOCK_ROWS = 50_000
 LEAST_FILTER, MOST_FILTER = 23, 30
 #: Rows of a class in a block, about: two blocks are paired row by row at once.
 BLOCK_COPIES = 64
-_STEP = 1 << 21  # pairs handled at once in a traversal
+_STEP = 1 << 20  # pairs expanded at once in a traversal
+#: Words of bitmaps compared at once: bounds a task's memory whatever the texts' lengths.
+_WORDS = 1 << 22
 
 
 class _WordHashes(dict):
@@ -350,10 +352,11 @@ def dual_traversal(x: Forest, y: Forest, t: float, same: bool) -> Iterator[tuple
         x.lift(height)
         y.lift(height)
     stack = [(x.top(), i, j)]
+    step = max(1 << 10, _WORDS // max(1, x.levels[0][2].shape[1]))
     while stack:
         level, i, j = stack.pop()
-        if len(i) > _STEP:
-            stack += [(level, i[a : a + _STEP], j[a : a + _STEP]) for a in range(0, len(i), _STEP)]
+        if len(i) > step:
+            stack += [(level, i[a : a + step], j[a : a + step]) for a in range(0, len(i), step)]
             continue
         _, _, xb, xlo, xhi, xs = x.levels[level]
         _, _, yb, ylo, yhi, ys = y.levels[level]
@@ -394,7 +397,7 @@ def _chunks(many) -> Iterator[slice]:
     at = 0
     while at < len(many):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + 2 * _STEP, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + _STEP, side="right")))
         yield slice(at, to)
         at = to
 
