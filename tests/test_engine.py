@@ -142,15 +142,15 @@ def test_long_descriptions_are_summarized_and_orphans_described(spark, tmp_path)
 
 def test_caller_tokenizer_and_chunker(spark, tmp_path):
     letters = lambda t: [(i, i + 1) for i in range(len(t))]
-    e = Engine(spark, str(tmp_path / "a"), Config(generate=record_extractor, embed=hashed_vectors, buckets=2, tokenize=letters, chunk_tokens=10, chunk_overlap=0))
-    e.insert(docs(spark, ["abcdefghijklmnopqrstuvwxy"]))
-    assert sorted((r.tokens, r.content) for r in e.store.read("text_chunks").collect()) == [(5, "uvwxy"), (10, "abcdefghij"), (10, "klmnopqrst")]
-    e = Engine(spark, str(tmp_path / "b"), Config(generate=record_extractor, embed=hashed_vectors, buckets=2, chunker=lambda t: t.split("|")))
-    e.insert(docs(spark, ["one two|three"]))
-    assert sorted((r.tokens, r.content) for r in e.store.read("text_chunks").collect()) == [(1, "three"), (2, "one two")]
-    e = Engine(spark, str(tmp_path / "c"), Config(generate=record_extractor, embed=hashed_vectors, buckets=2, chunk_tokens=100, chunk_overlap=10))
-    e.insert(docs(spark, ["漢" * 450]))
-    assert max(r.tokens for r in e.store.read("text_chunks").collect()) == 100
+
+    def chunks(text, **settings):
+        e = Engine(spark, str(tmp_path), Config(**settings))
+        return sorted((r.tokens, r.content) for r in e._chunks(spark.createDataFrame([("d", text)], "id string, content string")).collect())
+
+    assert chunks("abcdefghijklmnopqrstuvwxy", tokenize=letters, chunk_tokens=10, chunk_overlap=0) == [(5, "uvwxy"), (10, "abcdefghij"), (10, "klmnopqrst")]
+    assert chunks("one two|three", chunker=lambda t: t.split("|")) == [(1, "three"), (2, "one two")]
+    assert max(n for n, _ in chunks("漢" * 450, chunk_tokens=100, chunk_overlap=10)) == 100
+    assert chunks("a\nb  c", chunk_tokens=100, chunk_overlap=10) == [(3, "a\nb  c")]
 
 
 def test_keywords_history_and_recognition(spark, tmp_path):

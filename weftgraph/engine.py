@@ -139,9 +139,9 @@ class Engine:
         for round_ in range(1 + RETRIES):
             recs = told(ask, round_)
             bad = E.malformed(recs).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.array_join("fields", E.FIELD))), "\n").alias("_b"))
-            ask = scratch.save(base.join(bad, "id").withColumn("_p", F.concat("content", F.lit(AGAIN), "_b")).drop("_b"))
-            if ask.limit(1).count() == 0:
+            if bad.limit(1).count() == 0:
                 break
+            ask = scratch.save(base.join(bad, "id").withColumn("_p", F.concat("content", F.lit(AGAIN), "_b")).drop("_b"))
         for round_ in range(cfg.glean_rounds):
             names = found[0].groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("entity_name")), "\n").alias("_f"))
             told(scratch.save(base.join(names, "id", "left").withColumn("_p", F.concat("content", F.lit(MISSED), F.coalesce("_f", F.lit("")))).drop("_f")), 1 + RETRIES + round_)

@@ -186,6 +186,8 @@ class Store:
         """
 
         def change(manifest: dict) -> dict:
+            if not manifest["folders"]:
+                return manifest if rows is None else manifest | {"folders": self._write(name, rows, manifest["buckets"])}
             old = self._read(name, manifest)
             keys = gone.select(*on).distinct()
             hit = keys if set(on) == set(KEYS[name]) else old.join(keys, on, "left_semi")
