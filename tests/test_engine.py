@@ -183,6 +183,15 @@ def test_expanded_entities_follow_the_querys_in_rank(whole):
     assert len({r.pos for r in rows}) == len(rows) and rel.count() >= 1
 
 
+def test_an_index_serves_until_the_table_changes(spark, tmp_path, whole):
+    scan = [tuple(r) for r in whole.search("vdb_chunks", whole._vector("Robert"), 3).select("id", "score").collect()]
+    assert whole.build_index("vdb_chunks") >= 1 and "vdb_chunks" in whole._indexes
+    assert [tuple(r) for r in whole.search("vdb_chunks", whole._vector("Robert"), 3).select("id", "score").collect()] == scan
+    whole.store.append("vdb_chunks", spark.createDataFrame([("new", "d", whole._vector("Robert"))], "id string, full_doc_id string, vector array<float>"))
+    assert "new" in {r.id for r in whole.search("vdb_chunks", whole._vector("Robert"), 3).collect()}
+    whole.store.replace("vdb_chunks", spark.createDataFrame([("new",)], "id string"), ["id"])
+
+
 def test_budget_of_chunks_is_what_the_rest_leaves(whole):
     _, _, many = whole.retrieve("Robert", QueryParam(mode="mix", top_ppr_nodes=0, max_hop=0))
     _, _, none = whole.retrieve("Robert", QueryParam(mode="mix", top_ppr_nodes=0, max_hop=0, max_total_tokens=100))

@@ -314,3 +314,25 @@ def test_communities_of_two_cliques(spark):
     cliques = [(a, b, 2.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.5)]
     got = {r.entity_name: r.community for r in G.communities(spark.createDataFrame(cliques, "src string, tgt string, weight double")).collect()}
     assert got == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("wxyz", "w")}
+
+
+def test_index_finds_most_of_the_nearest(spark, tmp_path):
+    import numpy as np
+
+    from weftgraph.operators import index as I
+    from weftgraph.operators import vectors as V
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(80, 24)), 10, axis=0) + 0.4 * rng.normal(size=(800, 24))
+    odd = [(900, None), (901, []), (902, [0.0] * 24), (903, [float("nan")] * 24), (904, [1.0] * 23)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + odd, "id bigint, vector array<float>").withColumn("name", F.concat(F.lit("n"), "id"))
+    made = I.build(df, str(tmp_path / "i"), 24)
+    assert 20 <= made <= 40 and spark.read.parquet(str(tmp_path / "i" / "lists")).count() == 800
+    hits = total = 0
+    for q in range(0, 800, 160):
+        want = {r.id for r in V.top_k(df, x[q].tolist(), 10, threshold=-1.0).collect()}
+        got = I.search(spark, str(tmp_path / "i"), x[q].tolist(), 10, threshold=-1.0, probes=6)
+        assert set(got.columns) == {"id", "name", "score"}
+        hits, total = hits + len(want & {r.id for r in got.collect()}), total + len(want)
+    assert hits >= 0.9 * total
+    assert I.build(df.limit(0), str(tmp_path / "e"), 24) == 1 and I.search(spark, str(tmp_path / "e"), x[0].tolist(), 5).collect() == []

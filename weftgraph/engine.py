@@ -15,6 +15,7 @@ from weftgraph.operators import conversation as T
 from weftgraph.operators import discovery as D
 from weftgraph.operators import extraction as E
 from weftgraph.operators import graph as G
+from weftgraph.operators import index as I
 from weftgraph.operators import maintenance as M
 from weftgraph.operators import reduce as R
 from weftgraph.operators import retrieval as Q
@@ -43,6 +44,7 @@ class Engine:
         self.spark = spark
         self.config = config or Config()
         self.store = Store(spark, root, self.config.workspace, self.config.buckets)
+        self._indexes: dict[str, int] = {}
 
     # -- ingest --
 
@@ -217,6 +219,23 @@ class Engine:
     def _tokens(self, text: str) -> int:
         return len((self.config.tokenize or X.default_spans)(text))
 
+    def build_index(self, name: str) -> int:
+        """Index a vector table for searches; it serves until the table changes. The number of its lists."""
+        rows, (version, _) = self.store.read(name), self.store._manifest(name)
+        head = rows.where("vector IS NOT NULL").select(F.size("vector")).first()
+        if head is None:
+            return 0
+        made = I.build(rows, f"{self.store.root}/index/{name}/{version}", head[0])
+        self._indexes[name] = version
+        return made
+
+    def search(self, name: str, vector: list[float], k: int) -> DataFrame:
+        """The most similar rows of a vector table: by its index where one is up to date, else by a scan with a top-k in each task."""
+        version = self.store._manifest(name)[0]
+        if self._indexes.get(name) == version:
+            return I.search(self.spark, f"{self.store.root}/index/{name}/{version}", vector, k, threshold=self.config.cosine_threshold)
+        return V.top_k(self.store.read(name), vector, k, "id", threshold=self.config.cosine_threshold)
+
     def keywords(self, query: str, param: QueryParam) -> QueryParam:
         """The parameters with the query's keywords; those given by the caller stay."""
         p = param
@@ -244,19 +263,19 @@ class Engine:
         nodes, edges = store.read("nodes"), store.read("edges")
         ent_lists, rel_lists, chunk_lists = [], [], []
         if p.mode in ("local", "hybrid", "mix"):
-            hit = V.top_k(store.read("vdb_entities"), self._vector(low), p.top_k, "id", threshold=cfg.cosine_threshold)
+            hit = self.search("vdb_entities", self._vector(low), p.top_k)
             seeds = _place(hit.select("entity_name", "score"), F.desc("score"), "entity_name")
             ent_lists.append(seeds.select("entity_name", "rank"))
             inner = G.best(G.induced(edges, seeds), p.top_k)
             rel_lists.append(_place(inner, F.desc("rank"), F.desc("weight"), "src", "tgt").select("src", "tgt", "rank"))
         if p.mode in ("global", "hybrid", "mix"):
-            hit = V.top_k(store.read("vdb_relationships"), self._vector(high), p.top_k, "id", threshold=cfg.cosine_threshold)
+            hit = self.search("vdb_relationships", self._vector(high), p.top_k)
             rel = _place(hit.select("src", "tgt", "score"), F.desc("score"), "src", "tgt")
             rel_lists.append(rel.select("src", "tgt", "rank"))
             ends = G.endpoints_in_order(rel.withColumnRenamed("rank", "ord"))
             ent_lists.append(_place(ends, "first").select("entity_name", "rank"))
         if p.mode in ("naive", "mix"):
-            hit = V.top_k(store.read("vdb_chunks"), self._vector(query), p.chunk_top_k or p.top_k, "id", threshold=cfg.cosine_threshold)
+            hit = self.search("vdb_chunks", self._vector(query), p.chunk_top_k or p.top_k)
             chunk_lists.append(_place(hit, F.desc("score"), "id").select("id", "rank"))
         if ent_lists:
             ents = Q.round_robin(["entity_name"], *ent_lists).withColumnRenamed("rank", "_k")
