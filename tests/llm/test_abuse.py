@@ -90,9 +90,14 @@ def test_gradients(half):
         assert abs(slope - g[k][at]) <= 2e-3 * max(1.0, abs(slope)), k
 
 
+def test_networks_are_averaged_where_the_first_is_not_sure(half):
+    one, three = A.Scorer(half), A.Scorer(half, half, half)
+    texts = ["you stupid idiot", "quarterly margin rose", "", None, "a b c", "the board met and you are a filthy liar and a moron they said"]
+    assert np.allclose(one.score(texts), three.score(texts), atol=1e-5)  # equal networks change nothing
+
+
 def test_rows_and_rates(spark, examples, monkeypatch):
-    monkeypatch.setattr(A, "COMPOSED", 300)
-    monkeypatch.setattr(A, "EPOCHS", 1)
+    monkeypatch.setattr(A, "NETWORKS", 2)
     rows = [(1, "you stupid idiot", "a"), (2, None, "a"), (3, "", None), (3, "", None), (4, "the margin rose", "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS score", "2 AS k", "3 AS s")
     labels = spark.createDataFrame(examples, "item_id bigint, text string, abusive int")
@@ -107,7 +112,7 @@ def test_rows_and_rates(spark, examples, monkeypatch):
 def test_scored_rows_take_no_part_in_the_fit(spark, examples, monkeypatch):
     fits = []
     monkeypatch.setattr(A, "_fitted", {})
-    monkeypatch.setattr(A, "train", lambda known, folder: fits.append(known) or A.Model({"": 0, "0": 1, "?": 2}, {}, {}))
+    monkeypatch.setattr(A, "_fit_all", lambda spark, known, public, seeds: fits.append(known) or [A.Model({"": 0, "0": 1, "?": 2}, {}, {})])
     labels = spark.createDataFrame(examples, "item_id bigint, text string, abusive int")
     for text in ("unlisted wording of an insult", "another text"):
         A.score(spark.createDataFrame([(i, text) for i in range(50)], "doc_id bigint, text string"), labels)

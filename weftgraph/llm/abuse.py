@@ -14,10 +14,12 @@ The network is fitted on at most ``FIT_ROWS`` labelled examples, varied by
 exchanging words of one class, on phrases composed from general lists and, as
 background, on harmless examples into which words of a public tokenizer's
 vocabulary are mixed; the rows to be scored take no part, so the fit is the same
-at every size.  A fitted model is kept for later calls of the same process.
+at every size.  ``NETWORKS`` networks are fitted from different seeds, each in a
+task of its own, and kept for later calls of the same process.
 
-Windows start every ``STEP`` words; around those that score ``NEAR`` or more,
-and less than the threshold, every window is scored.
+Windows start every ``STEP`` words and are scored by the first network; those at
+``NEAR`` or more by all of them, whose mean is the window's score, and around
+those below the threshold every window is scored.
 
 Results: one row a document.  Null, empty and blank texts and texts without a
 word score 0.  Very long texts are scored whole.  Repeated rows score alike.
@@ -27,14 +29,16 @@ from __future__ import annotations
 
 import base64
 import os
+import pickle
 import random
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import abuse_grammar as G
@@ -44,7 +48,9 @@ WINDOW, STEP = 12, 6
 DIM, HIDDEN, ATTENTION = 24, 14, 12
 TRIGRAMS = 4096
 #: Windows of whole collections are abusive far more rarely than those of the fit, so a passage must be all but certain.
-THRESHOLD = 0.9
+THRESHOLD = 0.8
+#: Networks whose mean decides.
+NETWORKS = 3
 #: Labelled rows used for fitting: those of the smallest key.
 FIT_ROWS = 20_000
 #: Windows of background in fitting; those drawn to find hard ones among them, and how many are kept a time.
@@ -91,6 +97,7 @@ def reading(token: str) -> str:
     return _RUN.sub(r"\1", t)
 
 
+@lru_cache(maxsize=200_000)
 def trigrams(word: str) -> list[int]:
     w = f"^{word}$"
     return [zlib.crc32(w[i : i + 3].encode()) % TRIGRAMS for i in range(max(1, len(w) - 2))]
@@ -266,7 +273,7 @@ def common_han() -> list[str]:
     return out
 
 
-def _compose(harmless_texts: list[str], passages: list[str], rng: random.Random, public: list[str]) -> tuple[list[tuple[list[str], int, float]], list[list[str]]]:
+def _compose(harmless_texts: list[str], passages: list[str], rng: random.Random, public: list[str], pool: int) -> tuple[list[tuple[list[str], int, float]], list[list[str]]]:
     """Training windows (words, label, weight), and a pool of further harmless windows."""
     sentences: list[tuple[list[str], int]] = []
     harmless = [words_of(s) for s in G.HARMLESS]
@@ -380,14 +387,14 @@ def _compose(harmless_texts: list[str], passages: list[str], rng: random.Random,
 
     out += [(background(), 0, 1.0) for _ in range(BACKGROUND_WINDOWS)]
     rng.shuffle(out)
-    return out, [background() for _ in range(POOL_WINDOWS)]
+    return out, [background() for _ in range(pool)]
 
 
 def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?。！？…])\s+|\n+|(?<=[。！？])", text) if s.strip()]
 
 
-def train(examples: list[tuple[str, int]], folder: str = VOCABULARIES, seed: int = SEED) -> Model:
+def train(examples: list[tuple[str, int]], folder: str = VOCABULARIES, seed: int = SEED, public: list[str] | None = None) -> Model:
     """Fit the network on (text, label) examples, composed phrases and background.
 
     Only a passage of an abusive example is abusive.  A first network, fitted
@@ -395,14 +402,14 @@ def train(examples: list[tuple[str, int]], folder: str = VOCABULARIES, seed: int
     """
     import numpy as np
 
-    public = vocabulary_words(folder)
+    public = vocabulary_words(folder) if public is None else public
     harmless = [s for t, y in examples if not y for s in _sentences(t)]
     parts = [p for p in (_sentences(t) for t, y in examples if y) if p]
-    first = Scorer(_fit(*_compose(harmless, [], random.Random(seed), public), seed, FIRST_EPOCHS))
+    first = Scorer(_fit(*_compose(harmless, [], random.Random(seed), public, POOL_WINDOWS), seed, FIRST_EPOCHS))
     picked = [int(np.argmax(first.score(p))) for p in parts]
     passages = [first.passage(p[i]) for p, i in zip(parts, picked)]
     harmless += [s for p, i in zip(parts, picked) for j, s in enumerate(p) if j != i]
-    return _fit(*_compose(harmless, passages, random.Random(seed), public), seed, EPOCHS)
+    return _fit(*_compose(harmless, passages, random.Random(seed), public, POOL_WINDOWS), seed, EPOCHS)
 
 
 def _fit(data: list[tuple[list[str], int, float]], pool: list[list[str]], seed: int, epochs: int) -> Model:
@@ -499,14 +506,15 @@ def _fit(data: list[tuple[list[str], int, float]], pool: list[list[str]], seed:
 class Scorer:
     """Scores texts with the input projections of every distinct word kept."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, *others: Model):
         import numpy as np
 
         self.model = model
+        self.others = [Scorer(m) for m in others]
         w = model.weights
         self.both = np.concatenate([w["Wf"], w["Wb"]], axis=1)
         self.bias = np.concatenate([w["bf"], w["bb"]])
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {"": PAD}
         self.table = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
         self.table[0] = self.bias
         self.used = 1
@@ -515,7 +523,7 @@ class Scorer:
         import numpy as np
 
         if self.used + len(tokens) > 600_000:
-            self.index.clear()
+            self.index = {"": PAD}
             self.used = 1
         while self.used + len(tokens) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -570,6 +578,14 @@ class Scorer:
         ids, n = self.coded([_TOKEN.findall(plain(t)) if t else [] for t in texts])
         return ids.reshape(-1), n
 
+    def mean(self, tokens: list[list[str]], own):
+        """Mean score of all networks of windows of tokens; ``own`` are the first one's."""
+        total = own.astype("f4").copy()
+        for s in self.others:
+            ids, _ = s.coded([[*w, *[""] * (WINDOW - len(w))] for w in tokens])
+            total += s.windows(ids)
+        return total / (1 + len(self.others))
+
     def coded(self, tokens: list[list[str]]):
         """Ids of the tokens (one row a list where all are as long as a window), and the count of each list."""
         import numpy as np
@@ -598,7 +614,9 @@ class Scorer:
         """The highest window score of each text; 0 without a word."""
         import numpy as np
 
-        ids, n = self.ids(texts)
+        tokens = [_TOKEN.findall(plain(t)) if t else [] for t in texts]
+        ids, n = self.coded(tokens)
+        ids = ids.reshape(-1)
         out = np.zeros(len(texts), np.float32)
         # Windows start every STEP words while a window's first half holds words.
         many = np.where(n > 0, np.maximum(1, -(-(n - (WINDOW - STEP)) // STEP)), 0)
@@ -615,6 +633,10 @@ class Scorer:
                 pos = first[at : at + 8192, None] + np.arange(WINDOW)
                 win = np.where(pos < end[d, None], padded[np.minimum(pos, len(padded) - 1)], PAD)
                 got = self.windows(win)
+                near = np.flatnonzero(got >= NEAR)
+                if self.others and len(near):
+                    begun = (first[at : at + 8192] - begin[d])[near].tolist()
+                    got[near] = self.mean([tokens[k][a : a + WINDOW] for k, a in zip(d[near].tolist(), begun)], got[near])
                 np.maximum.at(out, d, got)
                 yield got
 
@@ -631,15 +653,27 @@ class Scorer:
         return out
 
 
-_fitted: dict[tuple, Model] = {}
+_fitted: dict[tuple, list[Model]] = {}
+
+
+def _fit_all(spark: SparkSession, examples: list[tuple[str, int]], public: list[str], seeds: list[int]) -> list[Model]:
+    """A model for every seed, each fitted in a task; a model is about 1 MB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pickle.dumps(train(examples, seed=seeds[i], public=public)) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "model"])
+
+    rows = spark.range(0, len(seeds), 1, len(seeds)).mapInArrow(run, "id bigint, model binary").collect()
+    return [pickle.loads(bytes(r["model"])) for r in sorted(rows, key=lambda r: r["id"])]
 
 
-def fitted(examples: list[tuple[str, int]], folder: str = VOCABULARIES) -> Model:
-    """The model of these examples, fitted once a process."""
-    of = (tuple(examples), folder, COMPOSED, EPOCHS)
+def fitted(spark: SparkSession, examples: list[tuple[str, int]], folder: str = VOCABULARIES) -> list[Model]:
+    """The networks of these examples, fitted once a process."""
+    of = (tuple(examples), folder, NETWORKS)
     if of not in _fitted:
         _fitted.clear()
-        _fitted[of] = train(examples, folder)
+        _fitted[of] = _fit_all(spark, examples, vocabulary_words(folder), [SEED + i for i in range(NETWORKS)])
     return _fitted[of]
 
 
@@ -648,10 +682,10 @@ def score(df: DataFrame, examples: DataFrame, key: str = "doc_id", text: str = "
     rows = examples.select(F.col(label_key).alias("k"), F.col(label_text).alias("t"), F.col(label).cast("int").alias("y")).where("t IS NOT NULL AND y IS NOT NULL").orderBy("k", "t").limit(FIT_ROWS).collect()
     known = [(r["t"], r["y"]) for r in rows]
     # No row that is scored takes part in the fit.
-    shared = df.sparkSession.sparkContext.broadcast(fitted(known, folder))
+    shared = df.sparkSession.sparkContext.broadcast(fitted(df.sparkSession, known, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
