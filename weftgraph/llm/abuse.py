@@ -47,8 +47,8 @@ from weftgraph.llm.bpe import VOCABULARIES
 WINDOW, STEP = 12, 6
 DIM, HIDDEN, ATTENTION = 24, 14, 12
 TRIGRAMS = 4096
-#: Windows of whole collections are abusive far more rarely than those of the fit, so a passage must be all but certain.
-THRESHOLD = 0.8
+#: Of the networks' mean.
+THRESHOLD = 0.5
 #: Networks whose mean decides.
 NETWORKS = 3
 #: Labelled rows used for fitting: those of the smallest key.
