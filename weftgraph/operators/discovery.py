@@ -35,7 +35,7 @@ def describe_orphans(orphans: DataFrame, types: list[str], model: Model, prompt:
     a = E.ask(orphans, model, prompt, "_a")
     kind = F.trim(F.regexp_extract("_a", r"(?s)^\s*\(?(.*?)\)?\s*<SEP>", 1))
     known = F.coalesce(*[F.when(F.lower(kind) == t.lower(), F.lit(t)) for t in types], F.lit("Other"))
-    return a.withColumn("entity_type", known).withColumn("description", F.trim(F.regexp_extract("_a", r"(?s)<SEP>\s*\(?(.*?)\)?\s*$", 1))).drop("_a")
+    return a.withColumn("entity_type", known).withColumn("description", X.strip(F.regexp_extract("_a", r"(?s)<SEP>\s*\(?(.*?)\)?\s*$", 1))).drop("_a")
 
 
 def discover_types(chunks: DataFrame, model: Model, text: str = "content", least: int = 1) -> DataFrame:

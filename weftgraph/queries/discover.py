@@ -9,6 +9,7 @@ from weftgraph.operators import chunking as C
 from weftgraph.operators import discovery as D
 from weftgraph.plans import Scratch
 from weftgraph.queries.base import Registry, table
+from weftgraph.queries.stores import strip_sql
 from weftgraph.sources.files import text_folder
 
 q = Registry()
@@ -20,7 +21,7 @@ def ch7(spark, sf):
     return c.select("doc_id", "chunk_order_index", F.md5("content").alias("digest"))
 
 
-@q("ex6_orphan_descriptions", "SELECT vec_id, CASE WHEN entity_type = 'person' THEN 'Person' ELSE 'Other' END AS entity_type, trim('about ' || regexp_replace(entity_name, '[ \\t\\n\\x{0b}\\f\\r]+$', '')) AS description FROM vdb_entities WHERE entity_name IS NOT NULL")
+@q("ex6_orphan_descriptions", f"SELECT vec_id, CASE WHEN entity_type = 'person' THEN 'Person' ELSE 'Other' END AS entity_type, {strip_sql("'about ' || entity_name")} AS description FROM vdb_entities WHERE entity_name IS NOT NULL")
 def ex6(spark, sf):
     v = table(spark, sf, "vdb_entities").where("entity_name IS NOT NULL")
     asked = v.select("vec_id", F.concat(F.lit("("), F.when(F.col("entity_type") == "person", "PERSON").otherwise("thing"), F.lit(")<SEP>(about "), "entity_name", F.lit(")")).alias("entity_name"))
