@@ -135,3 +135,26 @@ def test_segment_join_equals_brute_force(spark):
     want = {(a[0], b[0]) for a in units for b in units if a[0] < b[0] and a[1] == b[1] and _distance(a[2], b[2]) <= N.edits(min(len(a[2]), len(b[2])))}
     assert set(got) == want
     assert all((d <= 1) == N.edit1(units[a][2], units[b][2]) for (a, b), d in got.items())
+
+
+def test_links_need_no_large_plan(spark):
+    """One plan of all kinds of links held a hundred shuffles, which filled the driver."""
+    from weftgraph.plans import Scratch
+
+    names = spark.createDataFrame([(1, "Vandersloot Mining Ltd", "organization"), (2, "Vandersloot Mining Limited", "organization"), (3, "W. Brentwaite", "person"), (4, "William Brentwaite", "person")], "id bigint, name string, typed string")
+    aliases = spark.createDataFrame([("Mining", "Mng", "sector")], "full_form string, short_form string, kind string")
+    links = N.link_names(names, aliases, Scratch(spark, "t"))
+    assert {frozenset(r) for r in links.collect()} == {frozenset((1, 2)), frozenset((3, 4))}
+    assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_salts_only_where_a_key_is_hot(spark, monkeypatch):
+    from weftgraph.plans import lookup, skew
+
+    monkeypatch.setattr(skew, "HOT_LEAST", 100)
+    right = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
+    for left, hot in ((spark.range(1000).selectExpr("id AS k", "id AS x"), False), (spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id END AS k", "id AS x"), True)):
+        for how in ("inner", "left"):
+            got = lookup(left, right, "k", 1000, how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+            assert ("_salt" in got._jdf.queryExecution().analyzed().toString()) == hot
