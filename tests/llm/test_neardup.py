@@ -99,3 +99,41 @@ def test_filter_lets_every_candidate_pass():
     rows = pa.RecordBatch.from_arrays([pa.array(np.arange(40_002)), pa.array(["a b c d"] * 40_002)], names=["id", "t"])
     got = {i for b in neardup._sets(3, Shared, bits)(iter([rows])) for i in b.column(0).to_pylist()}
     assert set(ids.tolist()) | set((ids + 1).tolist()) <= got and len(got) < 20_000
+
+
+def test_rounds_send_every_record_once_a_partition(spark, monkeypatch):
+    """The disk holds one round's copies of the records; all rounds together are the whole join."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 40))) for _ in range(150)]
+    texts += [" ".join(w if rng.random() > 0.1 else "z" for w in t.split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_row bigint, content string")
+    low: list[int] = []
+    spread = neardup._spread
+    monkeypatch.setattr(neardup, "PARTITION_SHINGLES", 700)
+    monkeypatch.setattr(neardup, "LEAST_ROUND", 1)
+    monkeypatch.setattr(neardup, "ROUND_BYTES", 2)
+    monkeypatch.setattr(neardup, "_spread", lambda parts, at, keys: low.append((parts, at, len(keys))) or spread(parts, at, keys))
+    pairs, members = neardup.near_pairs(df, "chunk_row", "content", 0.5, 1)
+    got = {tuple(r) for r in neardup.all_record_pairs(pairs, members).collect()}
+    assert len(low) > 2 and [x for _, at, n in low for x in range(at, at + n)] == list(range(low[0][0]))
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert len(want) > 50 and got == want
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from weftgraph.plans import Scratch
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for d in manager.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    Scratch(spark, "t").save(spark.range(10_000).selectExpr("id % 977 AS k").distinct())
+    for _ in range(20):
+        if held() <= before:
+            break
+        time.sleep(0.5)
+    assert held() <= before

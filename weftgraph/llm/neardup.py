@@ -15,7 +15,9 @@ counts the shingles of all records; its segments are summed in as many tasks.
 first ``n - ceil(t n) + 1`` shingles of each, so a record goes, once per
 partition, to the partitions of those shingles (shingles that the sketch proves
 to be unique are left out: they lose no pair).  Shingles held by very many
-records are spread over a triangle of blocks.  (3) In each partition the records
+records are spread over a triangle of blocks.  The records are written once and
+sent in rounds of some partitions each, so that the disk holds one round's copies
+however many partitions a record goes to.  (3) In each partition the records
 of each shingle form signature trees, which are joined by dual traversal.  (4)
 The surviving pairs are verified exactly on the whole texts.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +51,8 @@ LEAST_SKETCH, MOST_SKETCH = 22, 26
 SEGMENT_BITS = 17
 #: Shingles a partition of the join is planned for, about; its task holds their records.
 PARTITION_SHINGLES = 2_000_000
+#: Bytes that one round of the join sends, a shingle of all records (about 1.6 times the input), and at least.
+ROUND_BYTES, LEAST_ROUND = 6, 64_000_000
 #: Set hashes that a task remembers to leave out further copies; beyond it starts afresh.
 KNOWN_SETS = 1_000_000
 FANOUT = 8
@@ -230,14 +235,32 @@ def bitmaps(h, doc, n):
     return np.packbits(flags, bitorder="little"), start // 8
 
 
-def _route(size: int, t: float, levels, bits: int, mean: float, keys, block_rows: int):
-    """``mean`` is the count that a counter has by chance: it does not make a shingle hot."""
+def _target(tok, parts: int):
+    """The partition of a token."""
+    import numpy as np
+
+    return ((tok >> tok.dtype.type(7)) % tok.dtype.type(parts)).astype(np.int64)
+
+
+def _first(target, rec):
+    """The first token of each record in each partition, of tokens sorted by both."""
+    import numpy as np
+
+    new = np.ones(len(rec), dtype=bool)
+    new[1:] = (rec[1:] != rec[:-1]) | (target[1:] != target[:-1])
+    return new
+
+
+def _route(size: int, t: float, levels, bits: int, mean: float, parts: int, block_rows: int):
+    """One row a slice of the input: its records once, their tokens by partition, and the bytes that all rounds will send.
+
+    ``mean`` is the count that a counter has by chance: it does not make a shingle hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         level_of = np.frombuffer(levels.value, dtype=np.uint8)
-        part = np.asarray(keys, dtype=np.int32)
         known: set[int] = set()
         for batch in batches:
             for ids, texts in _slices(batch):
@@ -273,21 +296,54 @@ def _route(size: int, t: float, levels, bits: int, mean: float, keys, block_rows
                     d, tok = np.concatenate([d[~hot], hd[rep]]), np.concatenate([tok[~hot], spread])
                 if not len(d):
                     continue
-                target = (tok >> np.uint64(7)) % np.uint64(len(part))
-                order = np.argsort((d.astype(np.uint64) << np.uint64(24)) | target, kind="stable")
-                d, tok, target = d[order], tok[order], target[order].astype(np.int64)
-                new = np.ones(len(d), dtype=bool)
-                new[1:] = (d[1:] != d[:-1]) | (target[1:] != target[:-1])
-                at = np.flatnonzero(new)
-                rec = d[at]
+                order = np.lexsort((d, _target(tok, parts)))
+                d, tok = d[order], tok[order].astype(np.uint32)
+                rec, d = np.unique(d, return_inverse=True)
                 raw, byte = bitmaps(h, doc, n)
-                offsets = np.concatenate([byte[:-1], byte[-1:]]).astype(np.int32)
-                maps = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-                ends = np.concatenate([at, [len(d)]]).astype(np.int32) * 4
-                toks = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(tok.astype(np.uint32))])
+                offsets = byte.astype(np.int32)
+                maps = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).take(pa.array(rec))
+                new = _first(_target(tok, parts), d)
+                sent = 24 * int(new.sum()) + int((np.diff(offsets)[rec])[d[new]].sum()) + 4 * len(tok)
+                cols = [ids.take(pa.array(rec)).to_numpy(zero_copy_only=False), n[rec].astype(np.int32), sig[rec], b"".join(maps.to_pylist()), d.astype(np.int32), tok]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in cols), pa.array([sent], pa.int64())], names=["ids", "n", "sig", "bits", "rec", "toks", "sent"])
+
+    return run
+
+
+def _widths(n):
+    """Bytes of the records' bitmaps."""
+    import numpy as np
+
+    return np.left_shift(np.int64(1), width_class(n)) >> 3
+
+
+def _spread(parts: int, low: int, keys: list[int]):
+    """Records of the slices for the partitions from ``low`` on, one for each of ``keys``: a row a slice and partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        part = np.asarray(keys, dtype=np.int32)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, n, sig, bits, rec, tok = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=k) for c, k in (("ids", "i8"), ("n", "i4"), ("sig", "i8"), ("bits", "u1"), ("rec", "i4"), ("toks", "u4")))
+                target = _target(tok, parts)
+                a, b = np.searchsorted(target, [low, low + len(part)])
+                if a == b:
+                    continue
+                rec, tok, target = rec[a:b], tok[a:b], target[a:b]
+                at = np.flatnonzero(_first(target, rec))
+                many = np.diff(at, append=b - a).astype(np.int32)  # tokens of each record
+                r = rec[at]
+                g = np.flatnonzero(np.diff(target[at], prepend=-1))  # first record of each partition
+                ends = np.append(g, len(at))
+                offsets = np.concatenate([[0], np.cumsum(_widths(n))])
+                maps = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bits)]).take(pa.array(r))
+                byte = np.concatenate([[0], np.cumsum(_widths(n)[r])])[ends]
+                cut = lambda data, places: pa.BinaryArray.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[target[at]]), ids.take(pa.array(rec)), pa.array(n[rec], pa.int32()), pa.array(sig[rec], pa.int64()), maps.take(pa.array(rec)), toks],
-                    names=["p", "id", "n", "sig", "bits", "toks"],
+                    [pa.array(part[target[at[g]] - low]), cut(ids[r], ends * 8), cut(n[r], ends * 4), cut(sig[r], ends * 8), cut(maps.buffers()[2], byte), cut(many, ends * 4), cut(tok, np.append(at, b - a)[ends] * 4)],
+                    names=["p", "ids", "n", "sig", "bits", "many", "toks"],
                 )
 
     return run
@@ -455,6 +511,11 @@ def _pair(a, b):
     return (np.minimum(a, b).astype(np.int64) << 32) | np.maximum(a, b).astype(np.int64)
 
 
+def _pieces(data: bytes, sizes) -> list[memoryview]:
+    ends, view = sizes.cumsum().tolist(), memoryview(data)
+    return [view[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _join(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -462,9 +523,10 @@ def _join(t: float):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        whole = pa.Table.from_batches(got)
-        ids = whole.column("id").to_numpy()
-        a, b = join_records(ids, whole.column("n").to_numpy(), whole.column("sig").to_numpy(), whole.column("bits").to_pylist(), whole.column("toks").to_pylist(), t)
+        data = {c: b"".join(x for b in got for x in b.column(c).to_pylist()) for c in ("ids", "n", "sig", "bits", "many", "toks")}
+        del got
+        ids, n, sig, many = (np.frombuffer(data[c], dtype=k) for c, k in (("ids", "i8"), ("n", "i4"), ("sig", "i8"), ("many", "i4")))
+        a, b = join_records(ids, n, sig, _pieces(data["bits"], _widths(n)), _pieces(data["toks"], 4 * many.astype("i8")), t)
         x, y = ids[a], ids[b]
         for at in range(0, len(x), 100_000):
             lo, hi = np.minimum(x, y)[at : at + 100_000], np.maximum(x, y)[at : at + 100_000]
@@ -608,8 +670,20 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, size:
         total += r["total"]
     parts = max(tasks, -(-total // PARTITION_SHINGLES))
     shared = spark.sparkContext.broadcast(bytes(levels))
-    routed = src.mapInArrow(_route(size, threshold, shared, bits, total / (1 << bits), partition_keys(spark, parts), block_rows), "p int, id bigint, n int, sig bigint, bits binary, toks binary")
-    candidates = scratch.save(routed.repartition(parts, "p").mapInArrow(_join(threshold), "a bigint, b bigint").distinct())
+    route = _route(size, threshold, shared, bits, total / (1 << bits), parts, block_rows)
+    slices = scratch.save(src.mapInArrow(route, "ids binary, n binary, sig binary, bits binary, rec binary, toks binary, sent bigint"))
+    sent = slices.agg(F.sum("sent")).first()[0] or 0
+    rounds = min(parts, max(1, -(-sent // max(LEAST_ROUND, ROUND_BYTES * total))))
+    each = -(-parts // rounds)
+    keys = partition_keys(spark, each)
+    met = []
+    for low in range(0, parts, each):
+        mine = keys[: parts - low]
+        routed = slices.mapInArrow(_spread(parts, low, mine), "p int, ids binary, n binary, sig binary, bits binary, many binary, toks binary")
+        met.append(scratch.save(routed.repartition(each, "p").mapInArrow(_join(threshold), "a bigint, b bigint")))
+    scratch.drop(slices)
+    candidates = scratch.save(reduce(DataFrame.union, met).distinct())
+    scratch.drop(*met)
     fbits = filter_bits(2 * candidates.count())
     flags = candidates.mapInArrow(_filter_bits(fbits), "seg int, bits binary").repartition(min(tasks, max(1, 1 << (fbits - 3 - SEGMENT_BITS))), "seg").mapInArrow(_or_bits, "seg int, bits binary")
     wanted = spark.sparkContext.broadcast({r["seg"]: bytes(r["bits"]) for r in flags.collect()})  # bounded by MOST_FILTER
